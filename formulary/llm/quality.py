@@ -6,7 +6,7 @@ logistic curve. Labelled rows are learned from a bounded sample: the ``most_docs
 the least hash; half of them give pieces for the dictionaries (at most ``most_pieces`` a class),
 the other half calibrates. Scoring maps every text where it lies, without a shuffle.
 
-Defined cases: null or empty texts have difference 0 and get the score of that difference; label
+Defined cases: null or empty texts have difference 0 and size ratio 0.5 and get the score of those; label
 rows that are null or name no document are not learned from; without both classes the score is 0.5
 (one class only: 1 or 0 for it, softened); repeated rows are scored each; other columns are kept,
 and columns called score or predicted are replaced."""
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, documents, remainder, small_batches, table, text_bytes
+from .common import Batches, batch, documents, remainder, small_batches, table, text_bytes, written
 
 PIECE, LEVEL = 2048, 3
 
@@ -43,7 +43,10 @@ def pieces(text: bytes, size: int = PIECE) -> list[bytes]:
 class Model:
     def __init__(self, good: list[bytes], bad: list[bytes], size: int = 65536):
         self.blobs = [self.trained(good, size), self.trained(bad, size)]
-        self.a, self.b = 0.0, 0.0
+        self.w = np.zeros(len(measures(b"", [])) + 1)
+
+    def probability(self, x: tuple[float, ...]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.w[:-1] @ np.array(x) + self.w[-1], -30, 30))))
 
     @staticmethod
     def trained(samples: list[bytes], size: int) -> bytes:
@@ -61,30 +64,33 @@ class Model:
         return out
 
 
-def difference(text: bytes, coders: list[zstandard.ZstdCompressor]) -> float:
-    """Of the sizes with the bad and the good dictionary, over their sum: positive if good fits better."""
+def measures(text: bytes, coders: list[zstandard.ZstdCompressor]) -> tuple[float, float, float]:
+    """The difference of the sizes with the bad and the good dictionary over their sum (positive if good
+    fits better), by which the calibration goes; it may depend on the sizes over the text's own."""
     good = bad = 0
     for x in pieces(text):
         good += len(coders[0].compress(x))
         bad += len(coders[1].compress(x))
-    return (bad - good) / (bad + good) if text else 0.0
+    d, r = ((bad - good) / (bad + good), (bad + good) / 2 / len(text)) if text else (0.0, 0.5)
+    return 10 * d, 10 * d * r, r
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-3) -> tuple[float, float]:
-    """Newton's method for P(y=1) = 1 / (1 + exp(-(a x + b))), x scaled by the caller."""
-    z, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-2) -> np.ndarray:
+    """Weights and intercept of P(y=1) by damped Newton steps."""
+    z = np.concatenate([x, np.ones((len(x), 1))], 1)
+    w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
+        w = w + step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: "F.Column", label: str = "quality", most_docs: int = 20_000, most_pieces: int = 4_000) -> Model:
     small_batches(docs.sparkSession)
-    rows = labelled(docs, labels, label, fold, most_docs)
+    rows = written(labelled(docs, labels, label, fold, most_docs), "labelled")
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
     schema = pa.schema([("y", pa.int32()), ("h", pa.int64()), ("piece", pa.binary())])
 
@@ -101,19 +107,18 @@ def fit(docs: DataFrame, labels: DataFrame, fold: "F.Column", label: str = "qual
     samples = {y: [bytes(r["piece"]) for r in cuts.where(F.col("y") == y).orderBy("h", "piece").limit(most_pieces).collect()] for y in (1, 0)}
     model = Model(samples[1], samples[0])
     if not samples[0] or not samples[1]:
-        model.b = 3.0 * (bool(samples[1]) - bool(samples[0]))
+        model.w[-1] = 3.0 * (bool(samples[1]) - bool(samples[0]))
         return model
-    out = pa.schema([("y", pa.int32()), ("d", pa.float64())])
+    out = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64()))])
 
     def measured(it: Batches) -> Batches:
         coders = model.coders()
         for b in it:
-            yield batch(out, [b["y"], [difference(t, coders) for t in text_bytes(b["text"])]])
+            yield batch(out, [b["y"], [measures(t, coders) for t in text_bytes(b["text"])]])
 
-    found = rows.where(~half).mapInArrow(measured, "y int, d double").collect()
+    found = rows.where(~half).mapInArrow(measured, "y int, x array<double>").collect()
     if found:
-        model.a, model.b = logistic(np.array([r["d"] for r in found]) * 10, np.array([r["y"] for r in found], float))
-        model.a *= 10
+        model.w = logistic(np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float))
     return model
 
 
@@ -125,7 +130,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(it: Iterator[pd.Series]) -> Iterator[pd.Series]:  # dictionaries are loaded once a task
         coders = model.coders()
         for s in it:
-            yield s.map(lambda t: 1 / (1 + np.exp(-np.clip(model.a * difference(t.encode(), coders) + model.b, -30, 30)))).astype(float)
+            yield s.map(lambda t: model.probability(measures(t.encode(), coders))).astype(float)
 
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     return docs.select(*kept, scored(F.coalesce(F.col(text), F.lit(""))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

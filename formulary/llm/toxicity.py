@@ -1,5 +1,5 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences. A sentence's score is a
-logistic function of its words; the noisy-or of the sentences' scores is the document's, trained
+logistic function of its words and their beginnings; the noisy-or of the sentences' scores is the document's, trained
 from document labels alone; afterwards the sentence scores locate the offending sentences.
 
 Learned from a bounded sample: the ``most_docs`` labelled rows of least hash (whole texts); the
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, documents, hashes, remainder, small_batches, table, text_bytes
+from .common import Batches, batch, documents, hashes, remainder, small_batches, table, text_bytes, written
 from .quality import labelled
 
 ENDS = b".!?\n\r"
@@ -38,17 +38,17 @@ def sentences(text: bytes) -> list[list[bytes]]:
 @dataclass
 class Model:
     bias: float = -4.0
-    weights: dict[int, float] = field(default_factory=dict)  # by the word's 64-bit hash
+    weights: dict[int, float] = field(default_factory=dict)  # by the feature's 64-bit hash
 
 
-def train(bags: list[list[np.ndarray]], y: np.ndarray, n_words: int, epochs: int = 80, rate: float = 0.5, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(bags: list[list[np.ndarray]], y: np.ndarray, n_words: int, epochs: int = 150, rate: float = 0.5, ridge: float = 1e-5, sparse: float = 2e-5, start: float = -6.0) -> tuple[np.ndarray, float]:
     """Adagrad on the noisy-or likelihood; bags: for each document its sentences' word numbers."""
     flat = [s for bag in bags for s in bag]
     sizes = np.array([len(s) for s in flat])
     word = np.concatenate([*flat, np.empty(0, np.int64)]).astype(np.int64)
     sent = np.repeat(np.arange(len(flat)), sizes)
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    w, b, gw, gb = np.zeros(n_words), -4.0, np.full(n_words, 1e-6), 1e-6
+    w, b, gw, gb = np.zeros(n_words), start, np.full(n_words, 1e-6), 1e-6
     for _ in range(epochs):
         z = np.clip(np.bincount(sent, w[word], len(flat)) + b, -30, 30)
         p = 1 / (1 + np.exp(-z))
@@ -59,45 +59,54 @@ def train(bags: list[list[np.ndarray]], y: np.ndarray, n_words: int, epochs: int
         gw += dw * dw
         gb += db * db
         w -= rate * dw / np.sqrt(gw)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * 2e-5 / np.sqrt(gw), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * sparse / np.sqrt(gw), 0)
         b -= 0.1 * db / np.sqrt(gb)
     return w, float(b)
 
 
+def features(word: bytes) -> list[bytes]:
+    """The word and its beginnings of 4 to 6 bytes, which inflected forms share."""
+    return [word, *(word[:k] + b"*" for k in (4, 5, 6) if len(word) > k)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, fold: "F.Column", label: str = "toxic", most_docs: int = 12_000, most_words: int = 20_000, least_docs: int = 4) -> Model:
     small_batches(docs.sparkSession)
-    rows = labelled(docs, labels, label, fold, most_docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("word", pa.binary()), ("sizes", pa.binary())])
+    rows = written(labelled(docs, labels, label, fold, most_docs), "labelled")
+    counted = pa.schema([("f", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
+
+    def count(it: Batches) -> Batches:
+        for b in it:
+            found = [np.unique(hashes([f for s in sentences(t) for w in s for f in features(w)])) for t in text_bytes(b["text"])]
+            names, at = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_inverse=True)
+            y = np.repeat(np.array(b["y"].to_pylist(), float), [len(x) for x in found])
+            yield batch(counted, [names.view(np.int64), np.bincount(at, minlength=len(names)), np.bincount(at, y, len(names)).astype(np.int64)])
+
+    # a feature must be frequent enough; of those the most telling by their signed chi square, so many at most
+    total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
+    n, t = total["n"], total["t"] or 0
+    if not n or t in (0, n):
+        share = min(max(t / n if n else 0.0, 0.01), 0.99)
+        return Model(float(np.log(share / (1 - share))))
+    per = rows.mapInArrow(count, "f long, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= least_docs)
+    expected = F.col("n") * (t / n)
+    per = per.withColumn("telling", F.abs(F.col("t") - expected) / F.sqrt(expected + 1)).where("telling > 2").orderBy(F.desc("telling"), "f").limit(most_words)
+    kept = np.sort(np.array([r["f"] for r in per.select("f").collect()], np.int64).view(np.uint64))
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary())])
+
+    def numbers(s: list[bytes]) -> np.ndarray:
+        h = hashes([f for w in s for f in features(w)])
+        pos = np.minimum(np.searchsorted(kept, h), max(len(kept) - 1, 0))
+        return pos[kept[pos] == h].astype(np.int32) if len(kept) else np.empty(0, np.int32)
 
     def bagged(it: Batches) -> Batches:
         for b in it:
-            bags = [[hashes(s) for s in sentences(t) if s] for t in text_bytes(b["text"])]
-            yield batch(schema, [b["doc_id"], b["y"], [np.concatenate([*x, np.empty(0, np.uint64)]).tobytes() for x in bags], [np.array([len(s) for s in x], np.int32).tobytes() for x in bags]])
+            bags = [[numbers(s) for s in sentences(t) if s] or [np.empty(0, np.int32)] for t in text_bytes(b["text"])]
+            yield batch(schema, [b["doc_id"], b["y"], [np.concatenate(x).tobytes() for x in bags], [np.array([len(s) for s in x], np.int32).tobytes() for x in bags]])
 
-    got = sorted(rows.mapInArrow(bagged, "doc_id long, y int, word binary, sizes binary").collect(), key=lambda r: (r["doc_id"], r["y"], bytes(r["word"])))
-    y = np.array([r["y"] for r in got])
-    if not len(y) or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.0, 0.01), 0.99)
-        return Model(float(np.log(share / (1 - share))))
-    words = [np.frombuffer(bytes(r["word"]), np.uint64) for r in got]
-    per_doc = [np.unique(x) for x in words]
-    names, at = np.unique(np.concatenate(per_doc), return_inverse=True)
-    toxic = np.repeat(y, [len(x) for x in per_doc])
-    df, dy = np.bincount(at), np.bincount(at, toxic)
-    # a word must be frequent enough; of those the most telling by their signed chi square
-    expected = df * y.mean()
-    telling = np.where(df >= least_docs, np.abs(dy - expected) / np.sqrt(expected + 1), 0)
-    keep = np.sort(np.argsort(-telling, kind="stable")[: min(most_words, int((telling > 1).sum()))])
-    number = {int(names[k]): j for j, k in enumerate(keep)}
-    kept_names = names[keep]
-    bags = []
-    for r, x in zip(got, words, strict=True):
-        pos = np.minimum(np.searchsorted(kept_names, x), max(len(kept_names) - 1, 0))
-        known = kept_names[pos] == x if len(kept_names) else np.zeros(len(x), bool)
-        cuts = np.cumsum(np.frombuffer(bytes(r["sizes"]), np.int32))
-        bags.append([p[k] for p, k in zip(np.split(pos, cuts)[:-1], np.split(known, cuts)[:-1], strict=True)] or [np.empty(0, np.int64)])
-    w, bias = train(bags, y, len(keep))
-    return Model(bias, {n: float(w[j]) for n, j in number.items() if w[j]})
+    got = sorted(rows.mapInArrow(bagged, "doc_id long, y int, at binary, sizes binary").collect(), key=lambda r: (r["doc_id"], r["y"], bytes(r["at"])))
+    bags = [np.split(np.frombuffer(bytes(r["at"]), np.int32), np.cumsum(np.frombuffer(bytes(r["sizes"]), np.int32))[:-1]) for r in got]
+    w, bias = train(bags, np.array([r["y"] for r in got]), len(kept))
+    return Model(bias, {int(f): float(x) for f, x in zip(kept, w, strict=True) if x})
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", sentence_at: float = 0.5) -> DataFrame:
@@ -113,7 +122,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", sentence_at: float
         """Weights by word; what isn't known yet is looked up by its hash. Emptied when it grows."""
 
         def __missing__(self, w: bytes) -> float:
-            x = weights.get(xxhash.xxh3_64_intdigest(w), 0.0)
+            x = sum(weights.get(xxhash.xxh3_64_intdigest(f), 0.0) for f in features(w))
             if len(self) > 200_000:
                 self.clear()
             self[w] = x
