@@ -71,16 +71,23 @@ def most_entropy(s: Column, window: int) -> Column:
     return F.aggregate(steps, start, step, lambda a: a["best"])
 
 
+def _kept(matches: Column, kind: int, least: int) -> Column:
+    """Spans of the matches whose part is at least so long."""
+    long = F.filter(matches, lambda m: F.char_length(m["s"]) >= least)
+    return F.transform(long, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
+
+
+def n_of(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with spans: array<struct<start, kind, end>> in order; kind is a number in KINDS."""
     kept = [c for c in df.columns if c.lower() != "spans"]
     t = F.coalesce(F.col(text), F.lit(""))
     found = df.select(*kept, *(_matches(t, p, g, f"__{k}") for k, p, g, _ in BASE), _matches(t, CANDIDATE, 0, "__candidate"))
     none = F.array().cast(SPAN)
-    spans = [
-        F.coalesce(F.transform(F.filter(f"__{k}", lambda m, n=n: F.char_length(m["s"]) >= n), lambda m, j=j: F.struct(m["start"].alias("start"), F.lit(j).alias("kind"), m["end"].alias("end"))), none)
-        for j, (k, _, _, n) in enumerate(BASE)
-    ]
+    spans = [F.coalesce(_kept(F.col(f"__{k}"), j, n), none) for j, (k, _, _, n) in enumerate(BASE)]
     found = found.select(*kept, "__candidate", F.array_sort(F.concat(*spans)).alias("__base"))
 
     def inside(m: Column) -> Column:
@@ -118,5 +125,5 @@ def joined(spans: Column) -> Column:
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(documents(table(spark, sf_dir, "documents"))).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, j=j: s["kind"] == j)).cast("long").alias(f"n_{k}") for j, (k, *_) in enumerate(BASE)]
+    counts = [n_of(F.col("spans"), j).alias(f"n_{k}") for j, (k, *_) in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
