@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op6_document_fingerprints
 from .lm import op4_lm_scoring
+from .ngram_join import op1_ngram_jaccard_join
 from .packing import op2_best_fit_packing
 from .quality import op5_quality_classifier
 from .secrets import op3_secret_scans
@@ -16,7 +17,7 @@ from .url_filters import OP7_SQL, op7_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_best_fit_packing, op3_secret_scans, op4_lm_scoring, op5_quality_classifier, op6_document_fingerprints, op7_url_filters, op8_toxicity)
+    own = (op1_ngram_jaccard_join, op2_best_fit_packing, op3_secret_scans, op4_lm_scoring, op5_quality_classifier, op6_document_fingerprints, op7_url_filters, op8_toxicity)
     return {f.__name__: f for f in own}
 
 
