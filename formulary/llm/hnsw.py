@@ -140,6 +140,7 @@ def layer(x: np.ndarray, order: np.ndarray, entry: np.ndarray, most: int) -> np.
             e = np.concatenate([entry[new], np.repeat(start[None], len(new), 0)], 1)
             e[:, :-1][e[:, :-1] == start[0]] = -1
             cand = np.concatenate([beam(x, links, q, e, EF_BUILD)[0], mates], 1)
+        cand = np.where(cand == new[:, None], -1, cand)  # a node of an upper layer begins at itself
         if cand.shape[1]:
             picked = diverse(x, q, cand, most // 2)
             links[new, : picked.shape[1]] = picked
