@@ -7,6 +7,11 @@ a table of fixed size; ties by hash), least hash first, greatest hash first. Pai
 the first order and must then share a prefix token under the other two orders before the sets are
 compared exactly.
 
+Blocks also go by length: a set is filed under its length's range, and under the next one if a set that
+much longer may lie there. Candidates must further pass a parity bitmap (bits flip with each token that
+hashes to them, so at most as many bits differ as tokens do), which is as exact as the prefixes, and a
+small part of a set in size: only survivors' sets are fetched.
+
 Copies are one class (equal sets); classes are joined. Pairs within a block are not all written out:
 first each block's members are paired with one of them (a star), links unite components, and only
 blocks that still hold several components give further stars and in the end the pairs across
@@ -20,6 +25,8 @@ rows; other columns aren't carried."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, batch, documents, shingles, small_batches, table, text_bytes, written
+from .common import Batches, batch, documents, mixed, shingles, small_batches, table, text_bytes, written
 from .components import components
 
 BUCKETS, CHUNKS = 1 << 22, 64
@@ -44,9 +51,34 @@ def prefix(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, the set's size or more: each token flips one bit."""
+    bits = max(64, 1 << max(len(s) - 1, 0).bit_length())
+    at = np.bincount((s * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits)
+    return np.packbits((at & 1).astype(bool)).tobytes()
+
+
+def may_link(a: bytes, b: bytes, most: int) -> bool:
+    """Whether bitmaps differ in at most ``most`` bits; the longer is folded upon itself first."""
+    u, v = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(u) < len(v):
+        u, v = v, u
+    while len(u) > len(v):  # neighbouring bits fold into one, as the slot is the hash's leading bits
+        pairs = np.unpackbits(u)
+        u = np.packbits(pairs[::2] ^ pairs[1::2])
+    return int(np.bitwise_count(u ^ v).sum()) <= most
+
+
+def ranges_of(n: int, num: int, den: int, width: int = 3) -> list[int]:
+    """The length range of a set, and the next one where a set to link with may lie."""
+    x = math.log(n) / math.log(den / num)
+    k = int(x // width)
+    return [k, k + 1] if x - k * width >= width - 1 - 1e-6 else [k]
+
+
 def first_pass(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, cid for each document; and rows with chunk and data: hashed counts of shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary())])
+    """doc_id, n, cid, bits for each document; and rows with chunk and data: hashed counts of shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32()), ("data", pa.binary())])
 
     def run(it: Batches) -> Batches:
         total = np.zeros(BUCKETS, np.uint32)
@@ -55,14 +87,14 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
             at, times = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(42), return_counts=True)
             total[at] += times.astype(np.uint32)
             k = len(sets)
-            yield batch(schema, [b["doc_id"], [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets], [None] * k, [None] * k])
+            yield batch(schema, [b["doc_id"], [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets], [parity(s) for s in sets], [None] * k, [None] * k])
         c = zstandard.ZstdCompressor(level=1)
         for k in range(CHUNKS):
             part = total[k * SPAN : (k + 1) * SPAN]
             if part.any():
-                yield batch(schema, [[None], [None], [None], [k], [c.compress(part.tobytes())]])
+                yield batch(schema, [[None], [None], [None], [None], [k], [c.compress(part.tobytes())]])
 
-    return written(docs.mapInArrow(run, "doc_id long, n long, cid long, chunk int, data binary"), "sets")
+    return written(docs.mapInArrow(run, "doc_id long, n long, cid long, bits binary, chunk int, data binary"), "sets")
 
 
 def frequencies(first: DataFrame) -> tuple[np.ndarray, float]:
@@ -85,7 +117,8 @@ def frequencies(first: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def blocks(docs: DataFrame, freq, width: int, num: int, den: int) -> DataFrame:  # noqa: ANN001
-    """token, salt, cid, n for the prefix of each set under the first order; copies within a partition once."""
+    """token (with its length range), salt, cid, n for the prefix of each set under the first order; copies
+    within a partition once."""
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cid", pa.int64()), ("n", pa.int32())])
 
     def run(it: Batches) -> Batches:
@@ -101,10 +134,12 @@ def blocks(docs: DataFrame, freq, width: int, num: int, den: int) -> DataFrame:
                 f = q[s >> np.uint64(42)]
                 at = np.argsort(f, kind="stable")[: prefix(n, num, den)]
                 docs_in = np.exp2(f[at] / 8) - even
-                cols[0].append(s[at].view(np.int64))
-                cols[1].append(np.where(docs_in >= HOT, cid % np.maximum(docs_in // (HOT // 2), 1).astype(np.int64), -1).astype(np.int32))
-                cols[2].append(np.full(len(at), cid))
-                cols[3].append(np.full(len(at), n, np.int32))
+                salt = np.where(docs_in >= HOT, cid % np.maximum(docs_in // (HOT // 2), 1).astype(np.int64), -1).astype(np.int32)
+                for k in ranges_of(n, num, den):
+                    cols[0].append(mixed(s[at] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+                    cols[1].append(salt)
+                    cols[2].append(np.full(len(at), cid))
+                    cols[3].append(np.full(len(at), n, np.int32))
             if len(seen) > 200_000:
                 seen.clear()
             if cols[0]:
@@ -142,6 +177,21 @@ def stars(rows: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "token long, salt int, a long, na int, b long, nb int")
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose parity bitmaps allow a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(it: Batches) -> Batches:
+        for x in it:
+            most = (den - num) * (x["na"].to_numpy() + x["nb"].to_numpy()) // (den + num)
+            kept = [(a, b) for a, b, p, q, m in zip(*(x[c].to_pylist() for c in ("a", "b", "pa", "pb")), most.tolist(), strict=True) if may_link(p, q, m)]
+            if kept:
+                yield batch(schema, list(zip(*kept, strict=True)))
+
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("bits").alias(f"p{c}"), F.col("n").alias(f"n{c}"))
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets pass the other two orders' prefix filters and then the exact test."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -302,8 +352,8 @@ def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     small_batches(spark)
     docs = documents(docs)
     first = first_pass(docs, width)
-    of_doc = first.where("chunk is null").select("doc_id", "n", "cid")
-    reps = written(of_doc.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "classes")
+    of_doc = first.where("chunk is null").select("doc_id", "n", "cid", "bits")
+    reps = written(of_doc.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     freq = spark.sparkContext.broadcast(frequencies(first))
     usable = docs.where("doc_id is not null")
     near = F.greatest("na", "nb") * num <= F.least("na", "nb") * den
@@ -312,9 +362,10 @@ def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     two = stars(split.select("token", F.lit(-1).alias("salt"), F.col("a").alias("cid"), F.col("na").alias("n")))
     rows = one.where("a <> b").unionByName(two)
     tested = written(rows.where(near).select("a", "b").distinct(), "pairs")
+    good = written(plausible(tested, reps, num, den), "plausible")
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = written(sets_of(usable, reps.join(ends(tested), "cid").select("doc_id", "cid"), width), "data")
-    links = written(similar(tested, sets, num, den), "links")
+    sets = written(sets_of(usable, reps.join(ends(good), "cid").select("doc_id", "cid"), width), "data")
+    links = written(similar(good, sets, num, den), "links")
     roots = components(links)
     # blocks that still hold several components
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -325,16 +376,16 @@ def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     few = left.where(F.col("m") < SMALL).select("token", "cid", "n", "root").distinct()
     more = small_pairs(few, num, den).join(tested, ["a", "b"], "left_anti")
     many = left.where(F.col("m") >= SMALL)
-    more = written(more, "pairs")
+    more = written(plausible(more, reps, num, den), "plausible")
     team = components(many.select("a", "b"))
     members = written(many.select("cid", "n", "root").distinct().join(team.select(F.col("node").alias("cid"), F.col("root").alias("team")), "cid"), "members")
     sets2 = written(sets_of(usable, reps.join(ends(more).union(members.select("cid")).distinct(), "cid").select("doc_id", "cid"), width), "data")
     links2 = written(similar(more, sets2, num, den).unionByName(tile_links(members, sets2, num, den)), "links")
     roots = components(links.unionByName(links2))
-    named = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    named = reps.select("cid", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = written(named.join(least, "root").select("cid", F.col("doc_id").alias("class_id"), "component_id"), "components")
-    out = of_doc.join(classes, "cid", "left")
+    out = of_doc.drop("bits").join(classes, "cid", "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"))
 
