@@ -36,7 +36,7 @@ def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the formula lines: a word a space-separated part, 12 units a character."""
-    lines = formula_lines(spark, sf_dir)
+    lines = formula_lines(spark, sf_dir).distinct()
     words = lines.selectExpr("doc_id", "line_no", "pk", "sk", "split(txt, ' ') as w").selectExpr("*", "posexplode(w) as (word_num, text)")
     return words.selectExpr(
         "doc_id", "cast(pk as int) as page", "cast(sk as int) as block_num", "1 as par_num", "cast(line_no as int) as line_num", "word_num", "text",
@@ -47,7 +47,7 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS_SQL = (
     LINES_SQL
-    + """, parts as (select *, string_split(txt, ' ') as w from formula_lines),
+    + """, parts as (select distinct *, string_split(txt, ' ') as w from formula_lines),
  words as (select doc_id, pk as page, sk as block_num, line_no as line_num, k - 1 as word_num, w[k] as text,
    12 * (length(array_to_string(w[1:k - 1], ' ')) + case when k > 1 then 1 else 0 end) as "left", 20 * line_no as top, 12 * length(w[k]) as width, 16 as height,
    (case when (pk + k - 1) % 7 = 0 then -1 else (pk + 13 * (k - 1)) % 101 end)::double as conf
