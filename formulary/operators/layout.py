@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +33,26 @@ def refined_box(words: Column, margin: int = 8, neighbors: int = 3) -> Column:
     """struct(x0, y0, x1, y1) around the words from ``neighbors`` before the first trigger word to as many
     after the last, by x, with a margin and not below 0. Without a trigger all words, without margin;
     without words zeros. Words are sorted by left, then by their own number."""
-    ws = F.array_sort(F.transform(words, lambda w: F.struct(w["left"].alias("left"), w["word_num"].alias("word_num"), w["top"].alias("top"), w["width"].alias("width"), w["height"].alias("height"), has_trigger(w["text"]).alias("hit"))))
-    at = F.filter(F.transform(ws, lambda w, k: F.when(w["hit"], k)), lambda k: k.isNotNull())
-    some = F.size(at) > 0
-    lo = F.when(some, F.greatest(F.array_min(at) - neighbors, F.lit(0))).otherwise(0)
-    hi = F.when(some, F.least(F.array_max(at) + neighbors, F.size(ws) - 1)).otherwise(F.size(ws) - 1)
-    chosen = F.slice(ws, lo + 1, F.greatest(hi - lo + 1, F.lit(0)))
-    m = F.when(some, margin).otherwise(0)
-    x0, y0 = F.array_min(F.transform(chosen, lambda w: w["left"])) - m, F.array_min(F.transform(chosen, lambda w: w["top"])) - m
-    x1, y1 = F.array_max(F.transform(chosen, lambda w: w["left"] + w["width"])) + m, F.array_max(F.transform(chosen, lambda w: w["top"] + w["height"])) + m
-    floor = lambda c: F.when(some, F.greatest(c, F.lit(0))).otherwise(c)
-    zero = F.lit(0)
-    return F.struct(F.coalesce(floor(x0), zero).alias("x0"), F.coalesce(floor(y0), zero).alias("y0"), F.coalesce(x1, zero).alias("x1"), F.coalesce(y1, zero).alias("y1"))
+    sorted_words = F.array_sort(F.transform(words, lambda w: F.struct(w["left"].alias("left"), w["word_num"].alias("word_num"), w["top"].alias("top"), w["width"].alias("width"), w["height"].alias("height"), has_trigger(w["text"]).alias("hit"))))
+
+    def chosen(ws: Column) -> Column:
+        at = F.filter(F.transform(ws, lambda w, k: F.when(w["hit"], k)), lambda k: k.isNotNull())
+        return _let(at, lambda at: F.struct((F.size(at) > 0).alias("some"), F.when(F.size(at) > 0, F.slice(ws, F.greatest(F.array_min(at) - neighbors, F.lit(0)) + 1, F.array_max(at) - F.greatest(F.array_min(at) - neighbors, F.lit(0)) + neighbors + 1)).otherwise(ws).alias("ws")))
+
+    def box(c: Column) -> Column:
+        start = F.struct(F.lit(None).cast("int").alias("x0"), F.lit(None).cast("int").alias("y0"), F.lit(None).cast("int").alias("x1"), F.lit(None).cast("int").alias("y1"))
+        grow = lambda a, w: F.struct(F.least(a["x0"], w["left"]).alias("x0"), F.least(a["y0"], w["top"]).alias("y0"), F.greatest(a["x1"], w["left"] + w["width"]).alias("x1"), F.greatest(a["y1"], w["top"] + w["height"]).alias("y1"))
+        b, zero = F.aggregate(c["ws"], start, grow), F.lit(0)
+        m = F.when(c["some"], margin).otherwise(0)
+        low = lambda v: F.when(c["some"], F.greatest(v - margin, zero)).otherwise(v)
+        return _let(b, lambda b: F.struct(F.coalesce(low(b["x0"]), zero).alias("x0"), F.coalesce(low(b["y0"]), zero).alias("y0"), F.coalesce(b["x1"] + m, zero).alias("x1"), F.coalesce(b["y1"] + m, zero).alias("y1")))
+
+    return _let(_let(sorted_words, chosen), box)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: as a lambda's variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def merge_boxes(boxes: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), max_gap: float = 40) -> DataFrame:
