@@ -7,7 +7,8 @@ c*log2(c), which gives the window's Shannon entropy without counting again. Each
 identifiers that look random but are no secrets: UUIDs, digits alone, and example values.
 
 Positions are code points: a pattern's matches and the text between them, both as arrays, give the
-running offsets. Documents without a match of a pattern cost one search.
+running offsets, summed in parts so that many matches in one text do not cost their square.
+Documents without a match of a pattern cost one search.
 
 Defined cases: null texts are empty; no match gives an empty list, whose digest is that of the empty
 string; overlapping spans of different kinds are all kept, but entropy spans inside others are not
@@ -16,6 +17,8 @@ added; other columns are kept, and a column called spans is replaced."""
 from __future__ import annotations
 
 import math
+import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,18 +41,51 @@ CLASSES = (
 ALLOWED = "^(?:[0-9]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|.*(?i:example|sample|dummy|placeholder|xxxx).*)$"
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in CLASSES]
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+PART = 512  # elements that are appended one by one
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _parts(xs: Column) -> Column:
+    """An array cut into arrays of ``PART``; none of an empty one."""
+    return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / PART).cast("int")), lambda k: F.slice(xs, k * PART + 1, PART))).otherwise(F.slice(F.array(xs), 1, 0))
+
+
+def running(xs: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` (a sum or a maximum, of integers from 0 on) of each element and all before it. An append
+    copies what is there, so parts are run through on their own, each from the total before it."""
+    none = F.array().cast("array<int>")
+
+    def run(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(part, start, lambda a, x: F.struct(op(a["at"], x).alias("at"), F.array_append(a["out"], op(a["at"], x)).alias("out")), lambda a: a["out"])
+
+    def of(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: op(a, x)))
+        firsts = F.slice(F.concat(F.array(F.lit(0)), run(totals, F.lit(0))), 1, F.size(parts))
+        return F.flatten(F.zip_with(parts, firsts, run))
+
+    return _let(xs, lambda xs: F.when(F.size(xs) <= PART, run(xs, F.lit(0))).otherwise(_let(_parts(xs), of)))
 
 
 def _matches(text: Column, pattern: str, group: int, alias: str) -> Column:
-    """array<struct<start, end, s>>, s: the group's text. An aggregate carries the running offset."""
+    """array<struct<start, end, s>>, s: the group's text; null without a match."""
     p = F.lit(pattern)
-    gap = F.transform(F.split(text, pattern, -1), F.char_length)
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     hit = F.regexp_extract_all(text, p, F.lit(0))
-    part = F.regexp_extract_all(text, p, F.lit(group)) if group else hit
-    steps = F.zip_with(F.slice(gap, 1, F.size(hit)), F.arrays_zip(F.transform(hit, F.char_length).alias("n"), part.alias("s")), lambda g, h: F.struct(g.alias("g"), h["n"].alias("n"), h["s"].alias("s")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
-    grow = lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + x["n"]).alias("end"), x["s"].alias("s"))).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, grow, lambda a: a["out"])).alias(alias)
+
+    def spans(hits: Column) -> Column:
+        ends = running(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: g + h["n"]), operator.add)
+        return F.zip_with(hits, ends, lambda h, e: F.struct((e - h["n"]).alias("start"), e.alias("end"), h["s"].alias("s")))
+
+    if group:
+        hits = F.zip_with(hit, F.regexp_extract_all(text, p, F.lit(group)), lambda h, s: F.struct(F.char_length(h).alias("n"), s.alias("s")))
+    else:
+        hits = F.transform(hit, lambda h: F.struct(F.char_length(h).alias("n"), h.alias("s")))
+    return F.when(text.rlike(pattern), _let(hits, spans)).alias(alias)
 
 
 def most_entropy(s: Column, window: int) -> Column:
@@ -90,31 +126,46 @@ def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
     spans = [F.coalesce(_kept(F.col(f"__{k}"), j, n), none) for j, (k, _, _, n) in enumerate(BASE)]
     found = found.select(*kept, "__candidate", F.array_sort(F.concat(*spans)).alias("__base"))
 
-    def inside(m: Column) -> Column:
-        return F.exists("__base", lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["end"]))
-
-    def kind(m: Column) -> Column:
+    def kind(s: Column) -> Column:
         out = F.lit(-1)
         for j, (_, like, window, bits) in reversed(list(enumerate(CLASSES, len(BASE)))):
-            out = F.when(m["s"].rlike(like), F.when(most_entropy(m["s"], window) >= bits, j).otherwise(-1)).otherwise(out)
-        return F.when(m["s"].rlike(ALLOWED) | ~m["s"].rlike("[0-9]") | inside(m), -1).otherwise(out)
-
-    judged = F.transform("__candidate", lambda m: F.struct(m["start"].alias("start"), kind(m).alias("kind"), m["end"].alias("end")))
-    more = F.coalesce(F.filter(judged, lambda m: m["kind"] >= 0), none)
+            out = F.when(s.rlike(like), F.when(most_entropy(s, window) >= bits, j).otherwise(-1)).otherwise(out)
+        return F.when(s.rlike(ALLOWED) | ~s.rlike("[0-9]"), -1).otherwise(out)
+
+    def outside(both: Column) -> Column:
+        """The candidates that no base span holds: none that begins at or before it ends as late."""
+        held = running(F.transform(both, lambda m: F.when(m["base"], m["end"]).otherwise(0)), F.greatest)
+        return F.filter(F.zip_with(both, held, lambda m, h: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["s"].alias("s"), (~m["base"] & (h < m["end"])).alias("out"))), lambda m: m["out"])
+
+    # in order of starts, base spans first
+    side = lambda base, s: lambda m: F.struct(m["start"].alias("start"), F.lit(not base).alias("late"), m["end"].alias("end"), F.lit(base).alias("base"), s(m).alias("s"))
+    both = F.array_sort(F.concat(F.transform("__base", side(True, lambda m: F.lit(""))), F.transform("__candidate", side(False, lambda m: m["s"]))))
+    judged = F.transform(_let(both, outside), lambda m: F.struct(m["start"].alias("start"), kind(m["s"]).alias("kind"), m["end"].alias("end")))
+    more = F.coalesce(F.when(F.size("__candidate") > 0, F.filter(judged, lambda m: m["kind"] >= 0)), none)
     found = found.select(*kept, "__base", more.alias("__more"))
     return found.select(*kept, F.when(F.size("__more") > 0, F.array_sort(F.concat("__base", "__more"))).otherwise(F.col("__base")).alias("spans"))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every stretch that spans cover replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        new = s["start"] >= a["at"]
-        out = F.when(new, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    def kept(held: Column) -> Column:
+        """from, to of the text before each new stretch."""
+        before = F.concat(F.array(F.lit(0)), F.slice(held, 1, F.size(spans) - 1))
+        gaps = F.zip_with(spans, before, lambda s, at: F.struct(at.alias("at"), s["start"].alias("to")))
+        return F.filter(gaps, lambda g: g["to"] >= g["at"])
+
+    def cut(part: Column) -> Column:
+        """A part's texts, from its own stretch of the text: a substring walks from the beginning."""
+        first = F.get(part, 0)["at"]
+        own = F.substring(text, first + 1, F.element_at(part, -1)["to"] - first)
+        return F.struct(part.alias("part"), first.alias("first"), own.alias("own"))
+
+    gaps = _let(running(F.transform(spans, lambda s: s["end"]), F.greatest), kept)
+    texts = F.transform(F.transform(_let(gaps, _parts), cut), lambda c: F.transform(c["part"], lambda g: F.substring(c["own"], g["at"] - c["first"] + 1, g["to"] - g["at"])))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    whole = F.concat(F.array_join(F.concat(F.flatten(texts), F.array(F.lit(""))), mark), F.substring(text, last + 1, F.char_length(text)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def joined(spans: Column) -> Column:

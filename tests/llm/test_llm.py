@@ -142,6 +142,31 @@ def test_secrets(spark):
     assert secrets.secret_spans(texts(spark, [])).count() == 0
 
 
+def test_secrets_in_thousands_in_one_text(spark):
+    rng = random.Random(7)
+    made = ["%032x", "é secret=%032x", "Zx9KqLmP3vR8tYw2BnC7dFgH1jSe%04x", "AKIA" + "A1" * 8, "😀 word %x", "token=K%030x/Zq"]
+    text = "\n".join(m % rng.getrandbits(16) if "%" in m else m for m in rng.choices(made, k=3 * secrets.PART + 5))
+    r = secrets.secret_spans(texts(spark, [(1, text)])).withColumn("red", secrets.redacted(F.col("text"), F.col("spans"))).first()
+    base = [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3]
+    assert base == brute.base_spans(text) and len(base) > 2 * secrets.PART
+    more = [s for s in r.spans if s.kind >= 3]
+    assert more and all(not (b[0] <= s.start and b[2] >= s.end) for s in more for b in base)
+    red, at = "", 0
+    for s in r.spans:
+        if s.start >= at:
+            red += text[at : s.start] + "[SECRET]"
+        at = max(at, s.end)
+    assert r.red == red + text[at:]
+
+
+@pytest.mark.parametrize("n", [0, 1, secrets.PART, secrets.PART + 1, 3 * secrets.PART])
+def test_running_totals(spark, n):
+    xs = [k * 37 % 101 for k in range(n)]
+    df = spark.createDataFrame([(xs,)], "xs array<int>")
+    r = df.select(secrets.running(F.col("xs"), lambda a, x: a + x).alias("sums"), secrets.running(F.col("xs"), F.greatest).alias("most")).first()
+    assert r.sums == np.cumsum(xs).astype(int).tolist() and r.most == np.maximum.accumulate(np.array(xs, int)).tolist()
+
+
 def test_sliding_entropy(spark):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdef0123456789XYZ", k=k)) for k in (20, 21, 45, 200)]
