@@ -331,6 +331,41 @@ def test_queries_are_whole(spark):
 
 
 
+ODD = [
+    (1, "one two three four five six seven", None, None, None, "x"), (1, "one two three four five six seven", None, None, None, "x"), (1, "other words under the same id as before", "en", "a", 3, None),
+    (2, None, "en", "a", None, "x"), (3, "", None, "a", 0, "x"), (4, "   \n\t ", "en", None, 6, "x"), (None, "one two three four five six seven", "en", "a", 33, "x"), (None, None, None, None, None, None),
+    (5, "é secret=abcdefghijklmnop 😀", "en", "a", -1, "x"), (6, "word " * 30_000 + "0123456789abcdef", "en", "hot", 150_016, "x"), (7, "x" * 200_000, "en", "hot", 200_000, "x"), (8, "one two three four five six SEVEN", "en", "a", 33, "x"),
+]
+ODD_DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("labels", [[], [(None, 1, 0), (1, None, None), (2, 1, 0), (3, 1, 1), (99, 0, 1), (5, 0, 0), (6, 1, 0), (6, 0, 1)]])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, labels):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clashing = ", ".join(f"{c} string" for c in ("score", "spans", "predicted", "y", "cid", "component_id", "ids", "k", "x", "offending"))
+    docs = spark.createDataFrame([(*r[:5], *[r[5]] * 10) for r in ODD], f"{ODD_DOC}, {clashing}")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path)).collect()
+        ids = sorted(r.doc_id for r in out if r.doc_id is not None)
+        if name == "packing":
+            assert set(ids) == {1, 2, 3, 4, 5, 6, 7, 8} and all(0 < r.length <= 1024 for r in out)
+        elif name == "near_duplicates":
+            # 8 copies 1, whose rows are one document; null ids link with nothing
+            assert ids == [1, 2, 3, 4, 5, 6, 7] and len(out) == 9
+        elif name == "secrets":
+            assert len(out) == len(ODD)
+            red = next(r for r in out if r.doc_id == 5)
+            assert (red.text, red.n_chars) == ("é [SECRET] 😀", 12)
+            assert next(r for r in out if r.doc_id == 6).text.endswith("word [SECRET]")
+        else:
+            rows = {tuple(r) for r in out}
+            assert rows <= {r[:5] for r in ODD}
+
+
 def test_pipeline_stages_obey_their_operators(spark):
     import corpus_pipeline
 
