@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import latex
 from ..functions import text as T
 from ..operators import corpus, dataset, extract, layout, lines, records
+from ..sources import pdf
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,5 +422,85 @@ def latex_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("latex", latex.to_latex(F.col("line")))
 
 
+# --- sources, routes and reports --------------------------------------------------------------------------
+
+BLOCK_COLUMNS = "l_orderkey as doc_id, 1 as page, cast(l_partkey % 97 as double) as y0, cast(l_suppkey % 7 as double) as x0, 'b' || l_partkey || '-' || l_suppkey as text, case when l_linenumber % 5 = 0 then 1 else 0 end as kind"
+
+
+@query(f"""with blocks as (select {BLOCK_COLUMNS} from lineitem)
+ select doc_id, (row_number() over (partition by doc_id order by round_even(y0 / 10, 0), x0, text) - 1)::int as block_no, text from blocks where kind = 0""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = X.table(spark, sf_dir, "lineitem").selectExpr(*BLOCK_COLUMNS.split(", "))
+    return lines.reading_order(blocks).select("doc_id", "block_no", "text")
+
+
+STRIP_SQL = r"regexp_replace({0}, '^[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
+
+
+@query(f"""with own as (select doc_id, coalesce(text, '') as text from documents),
+ routed as (select doc_id, case when length({STRIP_SQL.format('text')}) >= 400 then text else 'read on' || chr(10) || ' page ' || doc_id end as text from own),
+ l as (select doc_id, {STRIP_SQL.format('unnest(string_split(text, chr(10)))')} as line from routed)
+ select doc_id, count(*) as n_lines, sum(length(line))::bigint as n_chars from l where line <> '' group by doc_id""")
+def routed_page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = X.table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    read = own.select("doc_id", "page", F.concat(F.lit("read on\n page "), F.col("doc_id").cast("string")).alias("text"))
+    found = lines.split_lines(pdf.routed_lines(own, read, 400))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(f"with {X.LINES_SQL} select {K}, txt as line from formula_lines where doc_id % 3 <> 0 union all select {K}, 'second ' || txt from formula_lines where doc_id % 3 = 0")
+def fallback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = X.formula_lines(spark, sf_dir)
+    return pdf.with_fallback(f.where("doc_id % 3 <> 0").selectExpr(*KEYS, "txt as line"), f.selectExpr(*KEYS, "'second ' || txt as line"))
+
+
+@query(f"with {X.LINES_SQL}, {TYPES_SQL} select {K}, case when type = 'DIGITAL' then txt else 'ocr ' || txt end as line from formula_lines join named using (doc_id)")
+def routes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = X.formula_lines(spark, sf_dir)
+    return pdf.by_document_type(corpus.document_types(X.page_flags(spark, sf_dir)), f.selectExpr(*KEYS, "txt as line"), f.selectExpr(*KEYS, "'ocr ' || txt as line"))
+
+
+@query(f"select case when is_math then 'ACCEPT' else 'REJECT' end as status, sum(n)::bigint as n from ({ORACLES['math_text_rule']}) group by 1")
+def math_text_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.formula_lines(spark, sf_dir).select("txt").unionAll(X.table(spark, sf_dir, "benchmark").select("text"))
+    return t.select(F.when(T.math_text(F.col("txt"))["is_math"], "ACCEPT").otherwise("REJECT").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"with {CLS_SQL} select doc_id::varchar as doc_id, cls, count(*) as n from cls group by all")
+def document_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = X.formula_lines(spark, sf_dir).selectExpr("cast(doc_id as string) as doc_id", "concat(doc_id, '.pdf') as pdf_file", "cast(line_no as int) as page", "txt as latex_raw")
+    return records.class_counts(records.text_layer_records(hits)).select("doc_id", F.explode("formula_counts").alias("cls", "n"))
+
+
+@query("select 'd' || doc_id as name, md5(coalesce(text, '')) as hash, doc_id % 9 = 0 as fetched, round(n_chars / 1e3, 0)::bigint as size_kb from documents")
+def registry_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry as parallel arrays, a hundred files to each, back to a row a file."""
+    row = F.struct(F.expr("'d' || doc_id").alias("n"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), F.expr("cast(round(n_chars / 1e3) as bigint)").alias("s"), F.when(F.expr("doc_id % 9 = 0"), "url").alias("u"))
+    packed = X.table(spark, sf_dir, "documents").groupBy(F.expr("doc_id div 100")).agg(F.collect_list(row).alias("r"))
+    part = lambda c: F.transform("r", lambda x: x[c])
+    arrays = packed.select(part("n").alias("files"), part("h").alias("hashes"), part("n").alias("added_at"), part("s").alias("sizes_mb"), part("u").alias("urls"))
+    return corpus.registry_rows(arrays).select("name", "hash", F.col("url").isNotNull().alias("fetched"), F.col("size_mb").alias("size_kb"))
+
+
+@query("select doc_id, doc_id % 3 = 0 or starts_with(coalesce(text, ''), '%PDF') as is_pdf from documents")
+def pdf_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.concat(F.when(F.expr("doc_id % 3 = 0"), "%PDF-1.7\n").otherwise(""), F.coalesce("text", F.lit(""))).cast("binary")
+    return X.table(spark, sf_dir, "documents").select("doc_id", corpus.is_pdf(content).alias("is_pdf"))
+
+
+ITEM_COLUMNS = "case when l_partkey % 7 = 0 then '  ' when l_partkey % 11 = 0 then null else 't' || l_partkey end as text, 'x = ' || l_suppkey as latex, case when l_suppkey % 5 = 0 then '' else 's' || l_linenumber end as source, case l_linenumber % 3 when 0 then 'integral' when 1 then 'equation' else 'other' end as class"
+
+
+@query(f"with items as (select {ITEM_COLUMNS} from lineitem) select text, latex, source, class from items where trim(text) <> '' and trim(source) <> '' and class <> 'other'")
+def validated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.validate(X.table(spark, sf_dir, "lineitem").selectExpr(*ITEM_COLUMNS.split(", ")))
+
+
+@query(BALANCED_SQL + "select text, latex, source, class, key from synthetic")
+def synthetic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = dataset.class_status(_items(spark, sf_dir))
+    return dataset.synthetic(counts.select("class", (F.lit(100) - F.col("n")).alias("shortage")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formula_class_counts(spark, sf_dir)
