@@ -296,8 +296,8 @@ def small_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def tile_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: links that unite components within groups of large blocks. members: team, cid, n, root.
-    A team's members are dealt into chunks by length; each pair of chunks whose lengths allow a link is
-    a task that counts all common tokens by matrix products and returns only links that unite."""
+    A team's members are dealt into chunks by hash; each pair of chunks is a task that counts all common
+    tokens by matrix products and returns only links that unite."""
     sized = members.join(sets, "cid")
     teams = sized.groupBy("team").agg(F.count("*").alias("g"), F.sum(F.length("data")).alias("bytes"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
     k = F.greatest(F.ceil(F.col("g") / TILE), F.ceil(F.col("bytes") / (8 << 20))).cast("int")
