@@ -1,14 +1,19 @@
 """Language-model scoring by Brown's class-based bigrams.
 
 Words are counted over all training documents. The ``n_words`` most frequent ones are units of their
-own; every other word belongs to one of ``n_forms`` units by its ending. Exchange clustering moves
-units between classes while that raises the class bigrams' likelihood. A token's probability is
-P(class | class before) * P(unit | class), times P(word | unit) where a unit stands for many words;
-all three are smoothed. Every document begins after an end token.
+own, the core; every other word starts in one of ``n_forms`` units by its ending. Exchange clustering moves
+these units between classes while that raises the class bigrams' likelihood. Then every further word that
+occurs ``least`` times is exchanged too, by its own counts of classes before and after it: all such words
+leave their ending's class at once for the one that gives the likelihood most. Only rarer and unknown
+words stay with their ending's unit. The number of classes grows with the cube root of the classed words'.
+A token's probability is P(class | class before) * P(unit | class), times P(word | unit) where a unit stands
+for many words (those of an ending, or those that came to a class); all three are smoothed. Every document
+begins after an end token.
 
 At scale: word counts are pre-aggregated in each task, then shuffled by word. The bigram table of
-units has a fixed size and is summed from compressed chunks. Counts of the most frequent words (at
-most ``most_kept``) are sent to all tasks; rarer words of a document fetch theirs by a shuffled join.
+units has a fixed size and is summed from compressed chunks; words' counts of classes go as compressed
+sparse chunks to a task for each share of the words. Counts and units of the most frequent words (at
+most ``most_kept``) are sent to all tasks; rarer words fetch their count and class by shuffled joins.
 Nothing else is sent to or gathered in one place.
 
 Defined cases: a null or empty text is one end token; repeated ids are rows of their own; without
@@ -34,28 +39,30 @@ CHUNKS = 64
 
 @dataclass
 class Units:
-    """The most frequent words by hash (sorted), their counts and units; other words go by their ending."""
+    """The most frequent words by hash (sorted), their counts and units. Units are the core's words, then
+    the endings, then (once words are classed) each class's other words."""
 
     names: np.ndarray
     counts: np.ndarray
-    unit: np.ndarray  # -1: by its ending
+    unit: np.ndarray
     n_words: int
     n_forms: int
+    whole: bool  # no word that is classed is missing from ``names``
 
     @property
     def size(self) -> int:
         return self.n_words + self.n_forms
 
-    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, units, and counts (-1: not among the kept words)."""
+    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes: the place in ``names``, or -1 - k for the k-th of the other words; those, their endings
+        and how often they occur."""
         h = hashes(tokens)
-        form = self.n_words + endings(tokens, self.n_forms)
-        if not len(self.names):
-            return h, form, np.full(len(h), -1)
-        pos = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
-        kept = self.names[pos] == h
-        own = kept & (self.unit[pos] >= 0)
-        return h, np.where(own, self.unit[pos], form), np.where(kept, self.counts[pos], -1)
+        pos = np.minimum(np.searchsorted(self.names, h), max(len(self.names) - 1, 0))
+        kept = self.names[pos] == h if len(self.names) else np.zeros(len(h), bool)
+        at = np.nonzero(~kept)[0]
+        rare, first, back, times = np.unique(h[at], return_index=True, return_inverse=True, return_counts=True)
+        pos[at] = -1 - back
+        return pos.astype(np.int32), rare.view(np.int64), endings([tokens[k] for k in at[first]], self.n_forms).astype(np.int32), times
 
 
 def endings(tokens: list[bytes], n_forms: int) -> np.ndarray:
@@ -107,21 +114,65 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return counts.where(F.floor(F.log2("n") * 32) >= level).collect() if level is not None else []
 
 
+def coded(docs: DataFrame, units: Units) -> DataFrame:
+    """Each text as codes (after an end token), with its words that aren't kept and their endings."""
+    schema = pa.schema([("codes", pa.binary()), ("rare", pa.binary()), ("forms", pa.binary())])
+
+    def run(it: Batches) -> Batches:
+        for b in it:
+            out = []
+            for t in text_bytes(b["text"]):
+                c, rare, forms, _ = units.of(tokens(t))
+                out.append((np.concatenate([c[-1:], c]).tobytes(), rare.tobytes(), forms.tobytes()))
+            if out:
+                yield batch(schema, list(zip(*out, strict=True)))
+
+    return written(docs.mapInArrow(run, "codes binary, rare binary, forms binary"), "coded")
+
+
+def decoded(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of a batch in one array, where a text goes on from a token to the next, and the other words
+    with their endings."""
+    codes, rare, forms = ([np.frombuffer(x, kind) for x in b[k].to_pylist()] for k, kind in (("codes", np.int32), ("rare", np.int64), ("forms", np.int32)))
+    n, k = np.array([len(x) for x in codes]), np.array([len(x) for x in rare])
+    c = np.concatenate(codes)
+    c = np.where(c < 0, c - np.repeat(np.cumsum(k) - k, n), c)
+    goes_on = np.ones(len(c), bool)
+    goes_on[np.cumsum(n) - 1] = False
+    return c, goes_on[:-1], np.concatenate(rare), np.concatenate(forms)
+
+
+def looked_up(c: np.ndarray, kept: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """For each code what ``kept`` or ``rare`` holds for it."""
+    out = np.empty(len(c), np.int64)
+    is_rare = c < 0
+    out[~is_rare], out[is_rare] = kept[c[~is_rare]], rare[-1 - c[is_rare]]
+    return out
+
+
 def bigrams(train: DataFrame, units: Units) -> np.ndarray:
-    """How often each unit follows each one, summed from compressed chunks of a fixed size."""
+    """How often each unit follows each one in coded texts, summed from compressed chunks of a fixed size."""
     size = units.size
+
+    def pairs(b: pa.RecordBatch) -> np.ndarray:
+        c, goes_on, _, forms = decoded(b)
+        u = looked_up(c, units.unit, units.n_words + forms)
+        return (u[:-1] * size + u[1:])[goes_on]
+
+    return table_of(train, pairs, size)
+
+
+def table_of(train: DataFrame, pairs, size: int) -> np.ndarray:  # noqa: ANN001
+    """A square table of how often ``pairs`` gives each number, over all batches."""
     schema = pa.schema([("chunk", pa.int32()), ("data", pa.binary())])
     span = -(-size * size // CHUNKS)
 
-    def pairs(it: Batches) -> Batches:
+    def counted(it: Batches) -> Batches:
         total = np.zeros(span * CHUNKS, np.uint32)
         for b in it:
-            seqs = []
-            for t in text_bytes(b["text"]):
-                u = units.of([END, *tokens(t)])[1]
-                seqs.append(u[:-1] * size + u[1:])
-            at, n = np.unique(np.concatenate(seqs), return_counts=True)
-            total[at] += n.astype(np.uint32)
+            if b.num_rows:
+                at, n = np.unique(pairs(b), return_counts=True)
+                total[at] += n.astype(np.uint32)
         c = zstandard.ZstdCompressor(level=1)
         for k in range(CHUNKS):
             part = total[k * span : (k + 1) * span]
@@ -140,7 +191,7 @@ def bigrams(train: DataFrame, units: Units) -> np.ndarray:
 
     kind = "chunk int, data binary"
     total, d = np.zeros(span * CHUNKS, np.int64), zstandard.ZstdDecompressor()
-    for r in train.mapInArrow(pairs, kind).repartition(CHUNKS, "chunk").mapInArrow(added, kind).toLocalIterator():
+    for r in train.mapInArrow(counted, kind).repartition(CHUNKS, "chunk").mapInArrow(added, kind).toLocalIterator():
         total[r["chunk"] * span : (r["chunk"] + 1) * span] = np.frombuffer(d.decompress(bytes(r["data"])), np.int64)
     return total[: size * size].reshape(size, size)
 
@@ -160,6 +211,7 @@ def exchange(n: np.ndarray, n_classes: int, rounds: int = 6) -> np.ndarray:
     one = np.eye(n_classes)[cls]
     right, left = n @ one, n.T @ one  # unit to class that follows, class before to unit
     m = one.T @ right
+    fm = _f(m)
     for _ in range(rounds):
         moved = 0
         for w in np.argsort(-total, kind="stable"):
@@ -172,7 +224,8 @@ def exchange(n: np.ndarray, n_classes: int, rounds: int = 6) -> np.ndarray:
             m[c] -= r
             m[:, c] -= l
             m[c, c] -= own
-            by_row, by_col = _f(m + r) - _f(m), _f(m + l[:, None]) - _f(m)
+            fm[c], fm[:, c] = _f(m[c]), _f(m[:, c])
+            by_row, by_col = _f(m + r) - fm, _f(m + l[:, None]) - fm
             d = np.diag(m)
             gain = by_row.sum(1) - np.diag(by_row) + by_col.sum(0) - np.diag(by_col) + _f(d + r + l + own) - _f(d)
             rows, cols = m.sum(1) + l, m.sum(0) + r
@@ -183,6 +236,7 @@ def exchange(n: np.ndarray, n_classes: int, rounds: int = 6) -> np.ndarray:
             m[best] += r
             m[:, best] += l
             m[best, best] += own
+            fm[best], fm[:, best] = _f(m[best]), _f(m[:, best])
             if best != c:
                 moved += 1
                 cls[w] = best
@@ -195,6 +249,171 @@ def exchange(n: np.ndarray, n_classes: int, rounds: int = 6) -> np.ndarray:
     return cls
 
 
+CONTEXT = np.dtype([("word", "<i8"), ("at", "<i4"), ("start", "<i4"), ("n", "<i8")])
+
+
+def summed(x: np.ndarray) -> np.ndarray:
+    """Contexts sorted by word and place, equal ones added."""
+    x = x[np.lexsort((x["at"], x["word"]))]
+    if not len(x):
+        return x
+    new = np.nonzero(np.concatenate([[True], (x["word"][1:] != x["word"][:-1]) | (x["at"][1:] != x["at"][:-1])]))[0]
+    out = x[new]
+    out["n"] = np.add.reduceat(x["n"], new)
+    return out
+
+
+def best_classes(x: np.ndarray, m: np.ndarray, least: int, items: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """The words that occur ``least`` times and, for each, the class in which the class bigrams ``m`` become
+    likeliest when it alone leaves its start. Contexts (summed) are at k: class k before the word; at K + k:
+    class k after it; at 2 * K: the word itself after it."""
+    size = len(m)
+    new = np.concatenate([[True], x["word"][1:] != x["word"][:-1]]) if len(x) else np.empty(0, bool)
+    number = np.cumsum(new) - 1
+    times = np.bincount(number, np.where((x["at"] < size) | (x["at"] == 2 * size), x["n"], 0), int(new.sum()))
+    x = x[(times >= least)[number]]
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    begin = np.nonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]]))[0]
+    fm, f_rows, f_cols, diag = _f(m), m.sum(1), m.sum(0), np.diag(m)
+    best, lo = [], 0
+    ends = np.append(begin[1:], len(x))
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(ends, begin[lo] + items, "right")))
+        part, w = x[begin[lo] : ends[hi - 1]], np.repeat(np.arange(hi - lo), (ends - begin)[lo:hi])
+        c, at, n, k = x["start"][begin[lo:hi]], part["at"], part["n"].astype(float), np.arange(hi - lo)
+        sides = np.zeros((hi - lo, 2 * size + 1))
+        sides[w, at] = n
+        l, r, own = sides[:, :size], sides[:, size : 2 * size], sides[:, -1]  # noqa: E741
+        gain = np.zeros((hi - lo, size))
+        for here, table, f_table, other in ((at // size == 1, m.T, fm.T, l), (at < size, m, fm, r)):
+            here &= at < 2 * size
+            y, v, of = at[here] % size, n[here], w[here]
+            base, f_base = table[y], f_table[y]
+            j = np.arange(len(y))
+            base[j, c[of]] -= v
+            same = np.nonzero(y == c[of])[0]
+            base[same] -= other[of[same]]
+            base[same, c[of[same]]] -= own[of[same]]
+            f_base[j, c[of]] = _f(base[j, c[of]])
+            f_base[same] = _f(base[same])
+            d = _f(base + v[:, None]) - f_base
+            d[j, y] = 0  # the diagonal follows
+            first = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0] if len(of) else np.empty(0, np.int64)
+            if len(of):
+                gain[of[first]] += np.add.reduceat(d, first)
+        d, rows, cols = (np.repeat(z[None], hi - lo, 0) for z in (diag, f_rows, f_cols))
+        d[k, c] -= r[k, c] + l[k, c] + own
+        rows[k, c] -= r.sum(1) + own
+        cols[k, c] -= l.sum(1) + own
+        gain += _f(d + r + l + own[:, None]) - _f(d)
+        gain -= _f(rows + (r.sum(1) + own)[:, None]) - _f(rows) + _f(cols + (l.sum(1) + own)[:, None]) - _f(cols)
+        to = gain.argmax(1)
+        best.append(np.where(gain[k, to] > gain[k, c] + 1e-9, to, c))
+        lo = hi
+    return x["word"][begin], np.concatenate(best).astype(np.int32)
+
+
+def classed(train: DataFrame, units: Units, cls: np.ndarray, m: np.ndarray, least: int) -> DataFrame:
+    """word, cls for every word outside the core that occurs ``least`` times in the coded texts."""
+    size = len(m)
+    parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    schema, kind = pa.schema([("part", pa.int32()), ("data", pa.binary())]), "part int, data binary"
+    result = pa.schema([("word", pa.int64()), ("cls", pa.int32())])
+
+    def contexts(it: Batches) -> Batches:
+        names, start = units.names.view(np.int64), cls[units.unit]
+        wanted = (units.unit >= units.n_words) & (units.counts >= least)
+        z, held, rows = zstandard.ZstdCompressor(level=1), [], 0
+
+        def out() -> Batches:
+            x = summed(np.concatenate(held))
+            part = np.ascontiguousarray(x["word"]).view(np.uint64) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            at = np.searchsorted(part[order], np.arange(parts + 1))
+            for k in np.nonzero(np.diff(at))[0]:
+                yield batch(schema, [[k], [z.compress(x[order[at[k] : at[k + 1]]].tobytes())]])
+
+        for b in it:
+            if not b.num_rows:
+                continue
+            c, goes_on, rare, forms = decoded(b)
+            w, k = looked_up(c, names, rare), looked_up(c, start, cls[units.n_words + forms])
+            tail = looked_up(c, wanted, np.full(len(rare), not units.whole)).astype(bool)
+            same = w[1:] == w[:-1]
+            left, right, own = (np.nonzero(goes_on & y)[0] for y in (tail[1:] & ~same, tail[:-1] & ~same, tail[1:] & same))
+            x = np.empty(len(left) + len(right) + len(own), CONTEXT)
+            x["word"] = np.concatenate([w[left + 1], w[right], w[own]])
+            x["at"] = np.concatenate([k[left], size + k[right + 1], np.full(len(own), 2 * size)])
+            x["start"] = np.concatenate([k[left + 1], k[right], k[own]])
+            x["n"] = 1
+            held.append(summed(x))
+            rows += len(held[-1])
+            if rows > 2_000_000:  # bounds a task's memory
+                yield from out()
+                held, rows = [], 0
+        if rows:
+            yield from out()
+
+    def chosen(it: Batches) -> Batches:
+        d, held = zstandard.ZstdDecompressor(), {}
+        for b in it:
+            for k, x in zip(b["part"].to_pylist(), b["data"].to_pylist(), strict=True):
+                held.setdefault(k, []).append(x)
+        for k in list(held):
+            x = summed(np.concatenate([np.frombuffer(d.decompress(y), CONTEXT) for y in held.pop(k)]))
+            yield batch(result, list(best_classes(x, m, least)))
+
+    return written(train.mapInArrow(contexts, kind).repartition(parts, "part").mapInArrow(chosen, "word long, cls int"), "classed")
+
+
+OPEN = [("wa", pa.int64()), ("ka", pa.int32()), ("wb", pa.int64()), ("kb", pa.int32())]
+
+
+def open_pairs(c: np.ndarray, k: np.ndarray, rare: np.ndarray, at: np.ndarray) -> list:
+    """Columns wa, ka, wb, kb of the bigrams that begin at ``at``: the word where it isn't kept, and the class
+    (of its ending where it isn't kept)."""
+    out = []
+    for y in (c[at], c[at + 1]):
+        out.append(pa.array(rare[np.maximum(-1 - y, 0)], mask=y >= 0))
+    return [out[0], k[at], out[1], k[at + 1]]
+
+
+def with_classes(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Classes ka, kb in place of those of endings, where the words have classes of their own."""
+    for w, k in (("wa", "ka"), ("wb", "kb")):
+        named = pairs.where(F.col(w).isNotNull()).join(known.select(F.col("word").alias(w), "cls"), w, "left").withColumn(k, F.coalesce("cls", k)).drop("cls")
+        pairs = named.unionByName(pairs.where(F.col(w).isNull())).drop(w)
+    return pairs
+
+
+def class_bigrams(train: DataFrame, units: Units, cls: np.ndarray, known: DataFrame, size: int) -> np.ndarray:
+    """How often each class follows each one in the coded texts."""
+    local = cls[units.unit]
+
+    def pairs(b: pa.RecordBatch) -> np.ndarray:
+        c, goes_on, _, forms = decoded(b)
+        k = looked_up(c, local, cls[units.n_words + forms])
+        done = goes_on if units.whole else goes_on & (c[1:] >= 0) & (c[:-1] >= 0)
+        return (k[:-1] * size + k[1:])[done]
+
+    def rest(it: Batches) -> Batches:
+        for b in it:
+            if b.num_rows:
+                c, goes_on, rare, forms = decoded(b)
+                k = looked_up(c, local, cls[units.n_words + forms])
+                at = np.nonzero(goes_on & ((c[1:] < 0) | (c[:-1] < 0)))[0]
+                if len(at):
+                    yield batch(pa.schema(OPEN), open_pairs(c, k, rare, at))
+
+    m = table_of(train, pairs, size)
+    if not units.whole:
+        found = written(train.mapInArrow(rest, "wa long, ka int, wb long, kb int"), "open")
+        for r in with_classes(found, known).groupBy("ka", "kb").agg(F.count("*").alias("n")).toLocalIterator():
+            m[r["ka"], r["kb"]] += r["n"]
+    return m
+
+
 @dataclass
 class Model:
     units: Units
@@ -209,74 +428,129 @@ class Model:
 DELTA = 0.5  # added to a word's count within its form
 
 
-def fit(train: DataFrame, n_words: int = 1536, n_forms: int = 512, n_classes: int = 64, most_kept: int = 1 << 18) -> tuple[Model, DataFrame]:
-    """The model and the written counts of all words (word, form, n)."""
+def fit(train: DataFrame, n_words: int = 1536, n_forms: int = 512, n_classes: int | None = None, most_kept: int = 1 << 18, least: int = 4) -> tuple[Model, DataFrame]:
+    """The model and the written counts of all words (word, form, n, and cls where a word outside the core
+    is classed)."""
     small_batches(train.sparkSession)
     counts = written(word_counts(train, n_forms), "counts")
-    forms = counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
+    often = counts.where(F.col("n") >= least).count()
+    n_classes = n_classes or max(64, int(2 * often ** (1 / 3)))
     kept = sorted(most_frequent(counts, most_kept), key=lambda r: (-r["n"], r["word"]))
     rank = np.array([r["word"] for r in kept], np.int64).view(np.uint64)
     order = np.argsort(rank)
-    number = np.where(np.arange(len(kept)) < n_words, np.arange(len(kept)), -1)
-    units = Units(rank[order], np.array([r["n"] for r in kept], np.int64)[order], number[order].astype(np.int64), n_words, n_forms)
-    n = bigrams(train, units)
+    number = np.where(np.arange(len(kept)) < n_words, np.arange(len(kept)), n_words + np.array([r["form"] for r in kept], np.int64))
+    units = Units(rank[order], np.array([r["n"] for r in kept], np.int64)[order], number[order].astype(np.int64), n_words, n_forms, sum(r["n"] >= least for r in kept) == often)
+    own = np.array([r["n"] for r in kept[:n_words]] + [0] * (n_words - len(kept[:n_words])), float)
+    core = [r["form"] for r in kept[:n_words]]
+    del kept
+    texts = coded(train, units)
+    n = bigrams(texts, units)
     cls = exchange(n, n_classes)
     one = np.eye(n_classes)[cls]
-    m = one.T @ n @ one
-    freq = n.sum(0).astype(float)
+    known = classed(texts, units, cls, one.T @ n @ one, least)
+    counts = written(counts.join(known, "word", "left"), "counts")
+    # kept words that came to a class are in its last unit
+    for b in kept_only(known, units.names).toArrow().to_batches():
+        at = np.searchsorted(units.names, b["word"].to_numpy().view(np.uint64))
+        units.unit[at] = units.size + b["cls"].to_numpy()
+    cls = np.concatenate([cls, np.arange(n_classes)])
+    m = class_bigrams(texts, units, cls, known, n_classes)
+    words_in, tokens_in = np.zeros(len(cls)), np.zeros(len(cls))
+    for r in counts.groupBy("form", "cls").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        at = n_words + r["form"] if r["cls"] is None else units.size + r["cls"]
+        words_in[at] += r["k"]
+        tokens_in[at] += r["n"]
+    total, distinct = int(tokens_in.sum()), int(words_in.sum())
+    np.subtract.at(words_in, n_words + np.array(core, np.int64), 1)
+    np.subtract.at(tokens_in, n_words + np.array(core, np.int64), own[: len(core)])
+    freq = tokens_in.copy()
+    freq[:n_words] = own
+    one = np.eye(n_classes)[cls]
     per_class = one.T @ freq
     prior = (per_class + 1) / (per_class.sum() + n_classes)
     step = (m + 100 * prior) / (m.sum(1, keepdims=True) + 100)
-    unit = (freq + 0.5) / (per_class + 0.5 * one.sum(0))[cls]
-    words_in, tokens_in = np.zeros(n_forms), np.zeros(n_forms)
-    for r in forms:
-        words_in[r["form"]], tokens_in[r["form"]] = r["k"], r["n"]
-    for r in kept[:n_words]:
-        words_in[r["form"]] -= 1
-        tokens_in[r["form"]] -= r["n"]
-    log_form = np.zeros(units.size)
-    log_form[n_words:] = np.log10(tokens_in + DELTA * (words_in + 1))
-    model = Model(units, cls, np.log10(step), np.log10(unit), log_form, sum(r["n"] for r in forms), sum(r["k"] for r in forms))
-    return model, counts
+    added = np.where((np.arange(len(cls)) < units.size) | (words_in > 0), 0.5, 0)  # none to a class without further words
+    unit = (freq + added) / np.maximum(per_class + one.T @ added, 0.5)[cls]
+    log_form = np.zeros(len(cls))
+    log_form[n_words : units.size] = np.log10(tokens_in + DELTA * (words_in + 1))[n_words : units.size]
+    log_form[units.size :] = np.log10(np.maximum(tokens_in + DELTA * words_in, 1))[units.size :]
+    return Model(units, cls, np.log10(step), np.log10(np.maximum(unit, 1e-300)), log_form, total, distinct), counts
+
+
+def kept_only(known: DataFrame, names: np.ndarray) -> DataFrame:
+    """The rows of ``known`` whose word is among the sorted ``names``."""
+    schema = pa.schema([("word", pa.int64()), ("cls", pa.int32())])
+
+    def run(it: Batches) -> Batches:
+        for b in it:
+            w = b["word"].to_numpy().view(np.uint64)
+            if len(w) and len(names):
+                here = names[np.minimum(np.searchsorted(names, w), len(names) - 1)] == w
+                yield batch(schema, [b["word"].filter(pa.array(here)), b["cls"].filter(pa.array(here))])
+
+    return known.mapInArrow(run, "word long, cls int")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of ``docs``."""
     small_batches(docs.sparkSession)
-    fields = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>, times array<int>"
-    kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
-    schema = pa.schema([(f.split()[0], k) for f, k in zip(fields.split(", "), kinds, strict=True)])
+    fields = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>, times array<int>, forms array<int>, pairs array<struct<wa: long, ka: int, wb: long, kb: int>>"
+    pair = pa.struct(OPEN)
+    kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pair)]
+    schema = pa.schema(list(zip(("row", "doc_id", "n_tokens", "known", "base", "own", "words", "times", "forms", "pairs"), kinds, strict=True)))
     log_all = math.log10(model.total + model.distinct + 1)
+    units, emitted = model.units, model.log_unit - model.log_form
 
     def local(it: Batches) -> Batches:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
+        of_kept = model.cls[units.unit]
+        own_kept = emitted[units.unit] + np.where(units.unit >= units.n_words, np.log10(units.counts + DELTA), 0)
+        base_kept = np.log10(units.counts + 1)
         for b in it:
-            out = []
+            out, sizes, pairs = [], [0], []
             for doc, t in zip(b["doc_id"].to_pylist(), text_bytes(b["text"]), strict=True):
-                h, u, c = model.units.of([END, *tokens(t)])
-                cls = model.cls[u]
-                own = model.log_step[cls[:-1], cls[1:]].sum() + (model.log_unit[u] - model.log_form[u])[1:].sum()
-                h, u, c = h[1:], u[1:], c[1:]
-                kept = c >= 0
-                many = kept & (u >= model.units.n_words)
-                own += np.log10(c[many] + DELTA).sum()
-                rare, times = np.unique(h[~kept], return_counts=True)
-                out.append((row, doc, len(h), int((c > 0).sum()), float(np.log10(c[kept] + 1).sum() - len(h) * log_all), float(own), rare.view(np.int64), times.astype(np.int32)))
+                c, rare, forms, times = units.of(tokens(t))
+                n, at = len(c), c[c >= 0]
+                own = own_kept[at].sum() + (emitted[units.n_words + forms] * times).sum()
+                base = base_kept[at].sum() - n * log_all
+                c = np.concatenate([c[-1:], c])
+                cls = looked_up(c, of_kept, model.cls[units.n_words + forms])
+                is_open = (c[1:] < 0) | (c[:-1] < 0) if not units.whole else np.zeros(n, bool)
+                own += model.log_step[cls[:-1], cls[1:]][~is_open].sum()
+                left = np.nonzero(is_open)[0]
+                if len(left):
+                    pairs.append(open_pairs(c, cls, rare, left))
+                sizes.append(sizes[-1] + len(left))
+                out.append((row, doc, n, len(at), float(base), float(own), rare, times.astype(np.int32), forms))
                 row += 1
             if out:
-                yield batch(schema, list(zip(*out, strict=True)))
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=False)]
+                flat = [pa.concat_arrays([pa.array(p[k], kind) for p in pairs]) if pairs else pa.array([], kind) for k, (_, kind) in enumerate(OPEN)]
+                values = pa.StructArray.from_arrays(flat, fields=[pa.field(*x) for x in OPEN])
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], schema=schema)
+
+    def stepped(it: Batches) -> Batches:
+        for b in it:
+            yield batch(pa.schema([("row", pa.int64()), ("step", pa.float64())]), [b["row"], model.log_step[b["ka"].to_numpy(), b["kb"].to_numpy()]])
 
     rows = written(docs.mapInArrow(local, fields), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rare = rows.select("row", F.explode(F.arrays_zip("words", "times", "forms")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"), F.col("x.forms").alias("at"))
     c = F.coalesce("n", F.lit(0))
-    fetched = rare.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10(c + 1)).alias("base2"), F.sum(F.col("times") * F.log10(c + DELTA)).alias("own2")
+    # the ending's unit is counted already: a class's unit takes its place
+    moved = F.coalesce(F.get(F.lit(emitted[units.size :].tolist()), F.col("cls")) - F.get(F.lit(emitted[units.n_words : units.size].tolist()), F.col("at")), F.lit(0.0))
+    fetched = rare.join(counts.select("word", "n", "cls"), "word", "left").groupBy("row").agg(
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10(c + 1)).alias("base2"), F.sum(F.col("times") * (F.log10(c + DELTA) + moved)).alias("own2")
     )
-    out = rows.drop("words", "times").join(fetched, "row", "left")
+    out = rows.drop("words", "times", "forms", "pairs").join(fetched, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.select("doc_id", "n_tokens", add("known", "known2").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), add("base", "base2").alias("base_score"), add("own", "own2").alias("score")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    own = add("own", "own2")
+    if not units.whole:
+        pairs = with_classes(rows.select("row", F.inline("pairs")), counts.where("cls is not null").select("word", "cls"))
+        steps = pairs.select("row", "ka", "kb").mapInArrow(stepped, "row long, step double").groupBy("row").agg(F.sum("step").alias("step"))
+        out, own = out.join(steps, "row", "left"), own + F.coalesce("step", F.lit(0))
+    return out.select("doc_id", "n_tokens", add("known", "known2").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), add("base", "base2").alias("base_score"), own.alias("score")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def held_out() -> "F.Column":

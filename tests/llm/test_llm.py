@@ -211,6 +211,50 @@ def test_exchange_finds_planted_classes():
     assert len(set(cls[:10])) == len(set(cls[10:])) == 1 and cls[0] != cls[10]
 
 
+def test_further_words_go_to_the_likeliest_class():
+    rng = np.random.default_rng(1)
+    size, n_words = 5, 40
+    seq, start = rng.integers(0, n_words, 3000), rng.integers(0, size, n_words)
+
+    def likelihood(cls):
+        m = np.zeros((size, size))
+        np.add.at(m, (cls[seq[:-1]], cls[seq[1:]]), 1)
+        return lm._f(m).sum() - lm._f(m.sum(0)).sum() - lm._f(m.sum(1)).sum(), m
+
+    m = likelihood(start)[1]
+    rows = []
+    for a, b in zip(seq[:-1], seq[1:], strict=True):
+        rows += [(a, 2 * size, start[a], 1)] if a == b else [(b, start[a], start[b], 1), (a, size + start[b], start[a], 1)]
+    x = lm.summed(np.array(rows, lm.CONTEXT))
+    for items in (1, 50, 1 << 14):
+        words, got = lm.best_classes(x, m, 1, items)
+        assert list(words) == list(range(n_words))
+        for w, c in zip(words, got, strict=True):
+            all_of = [likelihood(np.where(np.arange(n_words) == w, k, start))[0] for k in range(size)]
+            assert all_of[c] == pytest.approx(max(all_of), abs=1e-6)
+    assert len(lm.best_classes(x, m, 10_000)[0]) == 0
+
+
+def test_words_outside_the_core_have_classes_of_their_own(spark):
+    """Two kinds of words with one ending go where the core has a word of their kind; the same whether words
+    and classes are sent to all tasks or fetched by joins."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(300):
+        kind = k % 2
+        rows.append((k, " ".join(f"{'ac'[kind]} {'xy'[kind]}{rng.choice(['', rng.randrange(30)])}_end {'bd'[kind]}" for _ in range(20))))
+    docs = common.documents(texts(spark, rows))
+    kinds = {int(np.int64(lm.hashes([f"{'xy'[k]}{j}_end".encode()]).view(np.int64)[0])): k for k in (0, 1) for j in range(30)}
+    scores = []
+    for most_kept in (1000, 8):
+        model, counts = lm.fit(docs, n_words=7, n_forms=8, n_classes=8, most_kept=most_kept)
+        assert model.units.whole == (most_kept == 1000)
+        of = [{r.cls for r in counts.where("n >= 4").collect() if kinds.get(r.word) == k} for k in (0, 1)]
+        assert len(of[0]) == len(of[1]) == 1 and of[0] != of[1] and None not in of[0] | of[1]
+        scores.append({r.doc_id: r.score for r in lm.score(docs, model, counts).collect()})
+    assert scores[0] == pytest.approx(scores[1])
+
+
 @pytest.fixture(scope="module")
 def judged():
     rng = random.Random(7)
