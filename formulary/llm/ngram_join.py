@@ -20,7 +20,7 @@ salt; the stars' centres meet in a second pass.
 
 Defined cases: a document without words or text has an empty set, links with nothing and is its own
 component; fewer words than the width are one shingle; a null id is carried but links with nothing;
-repeated ids with different texts count as one document that has both sets; an empty table gives no
+repeated ids with different texts count as one document that has both sets, so these are linked; an empty table gives no
 rows; other columns aren't carried."""
 
 from __future__ import annotations
@@ -365,7 +365,11 @@ def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     good = written(plausible(tested, reps, num, den), "plausible")
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     sets = written(sets_of(usable, reps.join(ends(good), "cid").select("doc_id", "cid"), width), "data")
-    links = written(similar(good, sets, num, den), "links")
+    # texts under one id are one document
+    named = of_doc.where("cid is not null and doc_id is not null").select("doc_id", "cid")
+    twice = named.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("doc_id", "a")
+    same = named.join(twice, "doc_id").where("a <> cid").select("a", F.col("cid").alias("b"))
+    links = written(similar(good, sets, num, den).unionByName(same), "links")
     roots = components(links)
     # blocks that still hold several components
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))

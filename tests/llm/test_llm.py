@@ -72,6 +72,17 @@ def test_ngram_join_of_large_blocks_and_of_none(spark):
     assert ngram_join.class_components(texts(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_under_one_id_are_in_one_component(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(12)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, c), (7, d), (8, d), (9, "others by themselves here")]
+    docs = texts(spark, rows)
+    got = {(r.doc_id, r.component_id) for r in ngram_join.class_components(docs).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 3), (9, 9)}
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [rows[0], rows[-1]]
+
+
 def test_parity_bitmaps_never_lose_a_link():
     rng = np.random.default_rng(1)
     for n in (5, 63, 64, 65, 500, 3000):
