@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model file is compiled into three transducers: the normaliser (character rules, white space, dummy
-prefix), the lexicon (a trie from strings to piece ids) and byte fallback. Each input is composed with
-them lazily, and the tropical semiring's shortest path through the lattice of its pieces is the
-encoding. For unigram models an arc weighs minus its piece's log-probability. For BPE models an arc
+Of a model file only the lexicon (a trie from strings to piece ids) is compiled into a transducer. The
+normaliser (character rules, white space, dummy prefix) is no transducer but substitutions by regular
+expressions before it, and byte fallback is a branch outside the lattice. Each normalised input is
+composed with the lexicon lazily, and the tropical semiring's shortest path through the lattice of its
+pieces is the encoding; the registered query's model is BPE, so it takes the depth-first search below and
+no query reaches the shortest path of unigram models. For unigram models an arc weighs minus its piece's log-probability. For BPE models an arc
 weighs 0 and the composition has a further acceptor of neighbouring pieces: a pair weighs 0 if merging
 its characters by rank gives just these two pieces, and infinity if not. A sequence of pieces is what
 BPE gives if and only if all its neighbours pass, so the path of weight 0 is unique, and is found
