@@ -13,8 +13,9 @@ begins after an end token.
 At scale: word counts are pre-aggregated in each task, then shuffled by word. The bigram table of
 units has a fixed size and is summed from compressed chunks; words' counts of classes go as compressed
 sparse chunks to a task for each share of the words. Counts and units of the most frequent words (at
-most ``most_kept``) are sent to all tasks; rarer words fetch their count and class by shuffled joins.
-Nothing else is sent to or gathered in one place.
+most ``most_kept``) are sent to all tasks; a text's rarer words, each once, fetch their count and class by one
+shuffled join, and go back to their text by another. Texts are cut into words once for counting and once
+for coding; training and scoring go on from the codes. Nothing else is sent to or gathered in one place.
 
 Defined cases: a null or empty text is one end token; repeated ids are rows of their own; without
 training documents every token is unknown; an empty table gives no rows; other columns aren't carried."""
@@ -102,8 +103,9 @@ def word_counts(train: DataFrame, n_forms: int) -> DataFrame:
     return train.mapInArrow(count, "word long, form int, n long").groupBy("word", "form").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> list:
-    """The words with so high a count that at most ``most`` have it: no sort of all words."""
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, endings and counts of the words with so high a count that at most ``most`` have it, the most
+    frequent first: no sort of all words."""
     levels = counts.groupBy(F.floor(F.log2("n") * 32).alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect()
     total, level = 0, None
     for r in levels:
@@ -111,35 +113,92 @@ def most_frequent(counts: DataFrame, most: int) -> list:
         if total > most:
             break
         level = r["level"]
-    return counts.where(F.floor(F.log2("n") * 32) >= level).collect() if level is not None else []
+    found = counts.where(F.floor(F.log2("n") * 32) >= level) if level is not None else counts.limit(0)
+    t = found.select("word", "form", "n").toArrow()
+    word, form, n = (t[c].to_numpy() for c in ("word", "form", "n"))
+    order = np.lexsort((word, -n))
+    return word[order].view(np.uint64), form[order].astype(np.int64), n[order]
+
+
+CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("codes", pa.binary()), ("rare", pa.binary()), ("forms", pa.binary()), ("times", pa.binary())])
 
 
 def coded(docs: DataFrame, units: Units) -> DataFrame:
-    """Each text as codes (after an end token), with its words that aren't kept and their endings."""
-    schema = pa.schema([("codes", pa.binary()), ("rare", pa.binary()), ("forms", pa.binary())])
+    """Each text (doc_id, text, train) as codes (after an end token), with its words that aren't kept, their endings
+    and how often they occur."""
 
     def run(it: Batches) -> Batches:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 36
         for b in it:
             out = []
-            for t in text_bytes(b["text"]):
-                c, rare, forms, _ = units.of(tokens(t))
-                out.append((np.concatenate([c[-1:], c]).tobytes(), rare.tobytes(), forms.tobytes()))
+            for doc, train, t in zip(b["doc_id"].to_pylist(), b["train"].to_pylist(), text_bytes(b["text"]), strict=True):
+                c, rare, forms, times = units.of(tokens(t))
+                out.append((row, doc, train, np.concatenate([c[-1:], c]).tobytes(), rare.tobytes(), forms.tobytes(), times.astype(np.int32).tobytes()))
+                row += 1
             if out:
-                yield batch(schema, list(zip(*out, strict=True)))
+                yield batch(CODED, list(zip(*out, strict=True)))
+
+    return written(docs.mapInArrow(run, "row long, doc_id long, train boolean, codes binary, rare binary, forms binary, times binary"), "coded")
+
+
+def resolved(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Coded texts with ns and classes: the count (0: unknown) and the class (-1: none of its own) of each of
+    their words that aren't kept."""
+    place = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("word", pa.int64())])
+    gathered = pa.schema([("row", pa.int64()), ("ns", pa.binary()), ("classes", pa.binary())])
 
-    return written(docs.mapInArrow(run, "codes binary, rare binary, forms binary"), "coded")
+    def places(it: Batches) -> Batches:
+        for b in it:
+            words = [np.frombuffer(x, np.int64) for x in b["rare"].to_pylist()]
+            n = np.array([len(x) for x in words], np.int64)
+            if n.sum():
+                first = np.repeat(np.cumsum(n) - n, n)
+                yield batch(place, [np.repeat(b["row"].to_numpy(), n), (np.arange(n.sum()) - first).astype(np.int32), np.concatenate(words)])
+
+    def gather(it: Batches) -> Batches:
+        """Rows come sorted by row and k; one that goes on in the next batch waits for it."""
+        held: list[np.ndarray] = []
 
+        def out(row: np.ndarray, n: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            at = np.nonzero(np.concatenate([[True], row[1:] != row[:-1]]))[0]
+            ends = np.append(at[1:], len(row))
+            return batch(gathered, [row[at], [n[i:j].tobytes() for i, j in zip(at, ends, strict=True)], [c[i:j].tobytes() for i, j in zip(at, ends, strict=True)]])
 
-def decoded(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The codes of a batch in one array, where a text goes on from a token to the next, and the other words
-    with their endings."""
-    codes, rare, forms = ([np.frombuffer(x, kind) for x in b[k].to_pylist()] for k, kind in (("codes", np.int32), ("rare", np.int64), ("forms", np.int32)))
-    n, k = np.array([len(x) for x in codes]), np.array([len(x) for x in rare])
+        for b in it:
+            own = [b["row"].to_numpy(), b["n"].to_numpy(), b["cls"].to_numpy()]
+            if not len(own[0]):
+                continue
+            held = [np.concatenate(x) for x in zip(held, own, strict=True)] if held else own
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield out(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held:
+            yield out(*held)
+
+    rare = texts.select("row", "rare").mapInArrow(places, "row long, k int, word long")
+    found = rare.join(counts.select("word", "n", "cls"), "word", "left").select("row", "k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(-1)).alias("cls"))
+    by_row = found.repartition("row").sortWithinPartitions("row", "k").mapInArrow(gather, "row long, ns binary, classes binary")
+    out = texts.drop("rare").join(by_row, "row", "left")
+    return written(out.select("doc_id", "train", "codes", "forms", "times", F.coalesce("ns", F.lit(b"")).alias("ns"), F.coalesce("classes", F.lit(b"")).alias("classes")), "resolved")
+
+
+def decoded(b: pa.RecordBatch, *columns: tuple[str, type]) -> tuple:
+    """The codes of a batch in one array, where a text goes on from a token to the next, and what further columns
+    hold of the texts' other words."""
+    codes = [np.frombuffer(x, np.int32) for x in b["codes"].to_pylist()]
+    held = [[np.frombuffer(x, kind) for x in b[c].to_pylist()] for c, kind in columns]
+    n, k = np.array([len(x) for x in codes]), np.array([len(x) for x in held[0]])
     c = np.concatenate(codes)
     c = np.where(c < 0, c - np.repeat(np.cumsum(k) - k, n), c)
     goes_on = np.ones(len(c), bool)
     goes_on[np.cumsum(n) - 1] = False
-    return c, goes_on[:-1], np.concatenate(rare), np.concatenate(forms)
+    return c, goes_on[:-1], *map(np.concatenate, held)
+
+
+FORMS, CLASSES = ("forms", np.int32), ("classes", np.int32)
 
 
 def looked_up(c: np.ndarray, kept: np.ndarray, rare: np.ndarray) -> np.ndarray:
@@ -155,7 +214,7 @@ def bigrams(train: DataFrame, units: Units) -> np.ndarray:
     size = units.size
 
     def pairs(b: pa.RecordBatch) -> np.ndarray:
-        c, goes_on, _, forms = decoded(b)
+        c, goes_on, forms = decoded(b, FORMS)
         u = looked_up(c, units.unit, units.n_words + forms)
         return (u[:-1] * size + u[1:])[goes_on]
 
@@ -337,7 +396,7 @@ def classed(train: DataFrame, units: Units, cls: np.ndarray, m: np.ndarray, leas
         for b in it:
             if not b.num_rows:
                 continue
-            c, goes_on, rare, forms = decoded(b)
+            c, goes_on, rare, forms = decoded(b, ("rare", np.int64), FORMS)
             w, k = looked_up(c, names, rare), looked_up(c, start, cls[units.n_words + forms])
             tail = looked_up(c, wanted, np.full(len(rare), not units.whole)).astype(bool)
             same = w[1:] == w[:-1]
@@ -367,51 +426,21 @@ def classed(train: DataFrame, units: Units, cls: np.ndarray, m: np.ndarray, leas
     return written(train.mapInArrow(contexts, kind).repartition(parts, "part").mapInArrow(chosen, "word long, cls int"), "classed")
 
 
-OPEN = [("wa", pa.int64()), ("ka", pa.int32()), ("wb", pa.int64()), ("kb", pa.int32())]
-
-
-def open_pairs(c: np.ndarray, k: np.ndarray, rare: np.ndarray, at: np.ndarray) -> list:
-    """Columns wa, ka, wb, kb of the bigrams that begin at ``at``: the word where it isn't kept, and the class
-    (of its ending where it isn't kept)."""
-    out = []
-    for y in (c[at], c[at + 1]):
-        out.append(pa.array(rare[np.maximum(-1 - y, 0)], mask=y >= 0))
-    return [out[0], k[at], out[1], k[at + 1]]
-
-
-def with_classes(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Classes ka, kb in place of those of endings, where the words have classes of their own."""
-    for w, k in (("wa", "ka"), ("wb", "kb")):
-        named = pairs.where(F.col(w).isNotNull()).join(known.select(F.col("word").alias(w), "cls"), w, "left").withColumn(k, F.coalesce("cls", k)).drop("cls")
-        pairs = named.unionByName(pairs.where(F.col(w).isNull())).drop(w)
-    return pairs
+def class_of(forms: np.ndarray, classes: np.ndarray, cls: np.ndarray, units: Units) -> np.ndarray:
+    """The classes of words that aren't kept: their own, else those of their endings."""
+    return np.where(classes >= 0, classes, cls[units.n_words + forms])
 
 
-def class_bigrams(train: DataFrame, units: Units, cls: np.ndarray, known: DataFrame, size: int) -> np.ndarray:
-    """How often each class follows each one in the coded texts."""
+def class_bigrams(train: DataFrame, units: Units, cls: np.ndarray, size: int) -> np.ndarray:
+    """How often each class follows each one in the resolved texts."""
     local = cls[units.unit]
 
     def pairs(b: pa.RecordBatch) -> np.ndarray:
-        c, goes_on, _, forms = decoded(b)
-        k = looked_up(c, local, cls[units.n_words + forms])
-        done = goes_on if units.whole else goes_on & (c[1:] >= 0) & (c[:-1] >= 0)
-        return (k[:-1] * size + k[1:])[done]
+        c, goes_on, forms, classes = decoded(b, FORMS, CLASSES)
+        k = looked_up(c, local, class_of(forms, classes, cls, units))
+        return (k[:-1] * size + k[1:])[goes_on]
 
-    def rest(it: Batches) -> Batches:
-        for b in it:
-            if b.num_rows:
-                c, goes_on, rare, forms = decoded(b)
-                k = looked_up(c, local, cls[units.n_words + forms])
-                at = np.nonzero(goes_on & ((c[1:] < 0) | (c[:-1] < 0)))[0]
-                if len(at):
-                    yield batch(pa.schema(OPEN), open_pairs(c, k, rare, at))
-
-    m = table_of(train, pairs, size)
-    if not units.whole:
-        found = written(train.mapInArrow(rest, "wa long, ka int, wb long, kb int"), "open")
-        for r in with_classes(found, known).groupBy("ka", "kb").agg(F.count("*").alias("n")).toLocalIterator():
-            m[r["ka"], r["kb"]] += r["n"]
-    return m
+    return table_of(train, pairs, size)
 
 
 @dataclass
@@ -428,41 +457,43 @@ class Model:
 DELTA = 0.5  # added to a word's count within its form
 
 
-def fit(train: DataFrame, n_words: int = 1536, n_forms: int = 512, n_classes: int | None = None, most_kept: int = 1 << 18, least: int = 4) -> tuple[Model, DataFrame]:
-    """The model and the written counts of all words (word, form, n, and cls where a word outside the core
-    is classed)."""
-    small_batches(train.sparkSession)
-    counts = written(word_counts(train, n_forms), "counts")
+def fit(docs: DataFrame, train: "F.Column | None" = None, n_words: int = 1536, n_forms: int = 512, n_classes: int | None = None, most_kept: int = 1 << 18, least: int = 4) -> tuple[Model, DataFrame, DataFrame]:
+    """The model learned from the ``docs`` (doc_id, text) that are ``train`` (all if it isn't given); the written
+    counts of all words (word, form, n, and cls where a word outside the core is classed); and all of ``docs`` ready to be scored."""
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", (F.lit(True) if train is None else F.coalesce(train, F.lit(False))).alias("train"))
+    counts = written(word_counts(docs.where("train"), n_forms), "counts")
     often = counts.where(F.col("n") >= least).count()
     n_classes = n_classes or max(64, int(2 * often ** (1 / 3)))
-    kept = sorted(most_frequent(counts, most_kept), key=lambda r: (-r["n"], r["word"]))
-    rank = np.array([r["word"] for r in kept], np.int64).view(np.uint64)
-    order = np.argsort(rank)
-    number = np.where(np.arange(len(kept)) < n_words, np.arange(len(kept)), n_words + np.array([r["form"] for r in kept], np.int64))
-    units = Units(rank[order], np.array([r["n"] for r in kept], np.int64)[order], number[order].astype(np.int64), n_words, n_forms, sum(r["n"] >= least for r in kept) == often)
-    own = np.array([r["n"] for r in kept[:n_words]] + [0] * (n_words - len(kept[:n_words])), float)
-    core = [r["form"] for r in kept[:n_words]]
-    del kept
-    texts = coded(train, units)
-    n = bigrams(texts, units)
+    names, forms, times = most_frequent(counts, most_kept)
+    order = np.argsort(names)
+    number = np.where(np.arange(len(names)) < n_words, np.arange(len(names)), n_words + forms)
+    units = Units(names[order], times[order], number[order], n_words, n_forms, int((times >= least).sum()) == often)
+    own = np.zeros(n_words)
+    own[: len(names)] = times[:n_words]
+    core = forms[:n_words]
+    texts = coded(docs, units)
+    of_train = texts.where("train")
+    n = bigrams(of_train, units)
     cls = exchange(n, n_classes)
     one = np.eye(n_classes)[cls]
-    known = classed(texts, units, cls, one.T @ n @ one, least)
+    known = classed(of_train, units, cls, one.T @ n @ one, least)
     counts = written(counts.join(known, "word", "left"), "counts")
     # kept words that came to a class are in its last unit
     for b in kept_only(known, units.names).toArrow().to_batches():
         at = np.searchsorted(units.names, b["word"].to_numpy().view(np.uint64))
         units.unit[at] = units.size + b["cls"].to_numpy()
     cls = np.concatenate([cls, np.arange(n_classes)])
-    m = class_bigrams(texts, units, cls, known, n_classes)
+    ready = resolved(texts, counts)
+    m = class_bigrams(ready.where("train"), units, cls, n_classes)
     words_in, tokens_in = np.zeros(len(cls)), np.zeros(len(cls))
     for r in counts.groupBy("form", "cls").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         at = n_words + r["form"] if r["cls"] is None else units.size + r["cls"]
         words_in[at] += r["k"]
         tokens_in[at] += r["n"]
     total, distinct = int(tokens_in.sum()), int(words_in.sum())
-    np.subtract.at(words_in, n_words + np.array(core, np.int64), 1)
-    np.subtract.at(tokens_in, n_words + np.array(core, np.int64), own[: len(core)])
+    np.subtract.at(words_in, n_words + core, 1)
+    np.subtract.at(tokens_in, n_words + core, own[: len(core)])
     freq = tokens_in.copy()
     freq[:n_words] = own
     one = np.eye(n_classes)[cls]
@@ -474,7 +505,7 @@ def fit(train: DataFrame, n_words: int = 1536, n_forms: int = 512, n_classes: in
     log_form = np.zeros(len(cls))
     log_form[n_words : units.size] = np.log10(tokens_in + DELTA * (words_in + 1))[n_words : units.size]
     log_form[units.size :] = np.log10(np.maximum(tokens_in + DELTA * words_in, 1))[units.size :]
-    return Model(units, cls, np.log10(step), np.log10(np.maximum(unit, 1e-300)), log_form, total, distinct), counts
+    return Model(units, cls, np.log10(step), np.log10(np.maximum(unit, 1e-300)), log_form, total, distinct), counts, ready
 
 
 def kept_only(known: DataFrame, names: np.ndarray) -> DataFrame:
@@ -491,66 +522,44 @@ def kept_only(known: DataFrame, names: np.ndarray) -> DataFrame:
     return known.mapInArrow(run, "word long, cls int")
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of ``docs``."""
-    small_batches(docs.sparkSession)
-    fields = "row long, doc_id long, n_tokens long, known long, base double, own double, words array<long>, times array<int>, forms array<int>, pairs array<struct<wa: long, ka: int, wb: long, kb: int>>"
-    pair = pa.struct(OPEN)
-    kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pair)]
-    schema = pa.schema(list(zip(("row", "doc_id", "n_tokens", "known", "base", "own", "words", "times", "forms", "pairs"), kinds, strict=True)))
-    log_all = math.log10(model.total + model.distinct + 1)
-    units, emitted = model.units, model.log_unit - model.log_form
+def prepared(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """Other texts (doc_id, text) than those ``fit`` was given, ready to be scored."""
+    return resolved(coded(docs.select("doc_id", "text", F.lit(False).alias("train")), model.units), counts)
 
-    def local(it: Batches) -> Batches:
-        from pyspark import TaskContext
 
-        row = TaskContext.get().partitionId() << 36
-        of_kept = model.cls[units.unit]
+def score(ready: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row made ready."""
+    small_batches(ready.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    log_all = math.log10(model.total + model.distinct + 1)
+    units, cls, emitted = model.units, model.cls, model.log_unit - model.log_form
+
+    def run(it: Batches) -> Batches:
+        of_kept = cls[units.unit]
         own_kept = emitted[units.unit] + np.where(units.unit >= units.n_words, np.log10(units.counts + DELTA), 0)
         base_kept = np.log10(units.counts + 1)
         for b in it:
-            out, sizes, pairs = [], [0], []
-            for doc, t in zip(b["doc_id"].to_pylist(), text_bytes(b["text"]), strict=True):
-                c, rare, forms, times = units.of(tokens(t))
-                n, at = len(c), c[c >= 0]
-                own = own_kept[at].sum() + (emitted[units.n_words + forms] * times).sum()
-                base = base_kept[at].sum() - n * log_all
-                c = np.concatenate([c[-1:], c])
-                cls = looked_up(c, of_kept, model.cls[units.n_words + forms])
-                is_open = (c[1:] < 0) | (c[:-1] < 0) if not units.whole else np.zeros(n, bool)
-                own += model.log_step[cls[:-1], cls[1:]][~is_open].sum()
-                left = np.nonzero(is_open)[0]
-                if len(left):
-                    pairs.append(open_pairs(c, cls, rare, left))
-                sizes.append(sizes[-1] + len(left))
-                out.append((row, doc, n, len(at), float(base), float(own), rare, times.astype(np.int32), forms))
-                row += 1
-            if out:
-                columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=False)]
-                flat = [pa.concat_arrays([pa.array(p[k], kind) for p in pairs]) if pairs else pa.array([], kind) for k, (_, kind) in enumerate(OPEN)]
-                values = pa.StructArray.from_arrays(flat, fields=[pa.field(*x) for x in OPEN])
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], schema=schema)
-
-    def stepped(it: Batches) -> Batches:
-        for b in it:
-            yield batch(pa.schema([("row", pa.int64()), ("step", pa.float64())]), [b["row"], model.log_step[b["ka"].to_numpy(), b["kb"].to_numpy()]])
-
-    rows = written(docs.mapInArrow(local, fields), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("words", "times", "forms")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"), F.col("x.forms").alias("at"))
-    c = F.coalesce("n", F.lit(0))
-    # the ending's unit is counted already: a class's unit takes its place
-    moved = F.coalesce(F.get(F.lit(emitted[units.size :].tolist()), F.col("cls")) - F.get(F.lit(emitted[units.n_words : units.size].tolist()), F.col("at")), F.lit(0.0))
-    fetched = rare.join(counts.select("word", "n", "cls"), "word", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10(c + 1)).alias("base2"), F.sum(F.col("times") * (F.log10(c + DELTA) + moved)).alias("own2")
-    )
-    out = rows.drop("words", "times", "forms", "pairs").join(fetched, "row", "left")
-    add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    own = add("own", "own2")
-    if not units.whole:
-        pairs = with_classes(rows.select("row", F.inline("pairs")), counts.where("cls is not null").select("word", "cls"))
-        steps = pairs.select("row", "ka", "kb").mapInArrow(stepped, "row long, step double").groupBy("row").agg(F.sum("step").alias("step"))
-        out, own = out.join(steps, "row", "left"), own + F.coalesce("step", F.lit(0))
-    return out.select("doc_id", "n_tokens", add("known", "known2").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), add("base", "base2").alias("base_score"), own.alias("score")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+            if not b.num_rows:
+                continue
+            c, goes_on, forms, classes, ns = decoded(b, FORMS, CLASSES, ("ns", np.int64))
+            # in a class of its own a word is in the class's last unit
+            own = emitted[np.where(classes >= 0, units.size + classes, units.n_words + forms)] + np.log10(ns + DELTA)
+            k = looked_up(c, of_kept, class_of(forms, classes, cls, units))
+            ends = np.append(np.nonzero(~goes_on)[0], len(c) - 1)
+            text = np.repeat(np.arange(len(ends)), np.diff(np.append(-1, ends)))[1:][goes_on]  # of each token but the first, which isn't one
+            rare, at = c < 0, np.concatenate([[False], goes_on])
+            per = np.empty((3, len(c)))
+            per[0, ~rare], per[0, rare] = base_kept[c[~rare]], np.log10(ns + 1)[-1 - c[rare]]
+            per[1, ~rare], per[1, rare] = own_kept[c[~rare]], own[-1 - c[rare]]
+            per[2, ~rare], per[2, rare] = 1, (ns > 0)[-1 - c[rare]]
+            per[1, 1:] += model.log_step[k[:-1], k[1:]]
+            base, total, known = (np.bincount(text, x[at], len(ends)) for x in per)
+            n = np.bincount(text, minlength=len(ends))
+            yield batch(schema, [b["doc_id"], n, known.astype(np.int64), base - n * log_all, total])
+
+    kind = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    out = ready.mapInArrow(run, kind).select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def held_out() -> "F.Column":
@@ -559,5 +568,5 @@ def held_out() -> "F.Column":
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
-    model, counts = fit(docs.where(~held_out()))
-    return score(docs, model, counts).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model, _, ready = fit(docs, ~held_out())
+    return score(ready, model).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
