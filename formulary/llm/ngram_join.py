@@ -4,24 +4,26 @@ A document's set is that of its distinct word shingles, as 64-bit hashes. Two se
 or more share a token among the first ``n - ceil(t*n) + 1`` tokens of each, whatever total order of
 all tokens is taken. Three orders are used: rare tokens first (by hashed counts over all documents,
 a table of fixed size; ties by hash), least hash first, greatest hash first. Pairs come from blocks of
-the first order and must then share a prefix token under the other two orders before the sets are
-compared exactly.
+the first order; the prefixes under the other two orders travel as a signature of each set, and a pair
+must share a token of both before any set is fetched and compared exactly.
 
 Blocks also go by length: a set is filed under its length's range, and under the next one if a set that
-much longer may lie there. Candidates must further pass a parity bitmap (bits flip with each token that
-hashes to them, so at most as many bits differ as tokens do), which is as exact as the prefixes, and a
-small part of a set in size: only survivors' sets are fetched.
+much longer may lie there. The signature further holds a parity bitmap (bits flip with each token that
+hashes to them, so at most as many bits differ as tokens do), which is as exact as the prefixes. A signature is
+a small part of a set in size; only survivors' sets are fetched.
 
 Copies are one class (equal sets); classes are joined. Pairs within a block are not all written out:
 first each block's members are paired with one of them (a star), links unite components, and only
-blocks that still hold several components give further stars and in the end the pairs across
-components, so that no link between different components is lost. Hot tokens' blocks are split by a
+blocks that still hold several components give further pairs, across components alone, so that no link
+between different components is lost. Small blocks give them all; large ones, joined where they share members, are
+gone through by signatures in tiles, from which those pairs leave that pass all filters: first a few for
+any two components, then, where these didn't link, the others. Hot tokens' blocks are split by a
 salt; the stars' centres meet in a second pass.
 
 Defined cases: a document without words or text has an empty set, links with nothing and is its own
 component; fewer words than the width are one shingle; a null id is carried but links with nothing;
-repeated ids with different texts count as one document that has both sets, so these are linked; an empty table gives no
-rows; other columns aren't carried."""
+repeated ids with different texts count as one document that has both sets, so ``class_components`` links these
+(``survivors`` doesn't); an empty table gives no rows; other columns aren't carried."""
 
 from __future__ import annotations
 
@@ -76,9 +78,26 @@ def ranges_of(n: int, num: int, den: int, width: int = 3) -> list[int]:
     return [k, k + 1] if x - k * width >= width - 1 - 1e-6 else [k]
 
 
-def first_pass(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, cid, bits for each document; and rows with chunk and data: hashed counts of shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary()), ("chunk", pa.int32()), ("data", pa.binary())])
+SIGNED = [("bits", pa.binary()), ("second", pa.binary()), ("third", pa.binary())]
+
+
+def signature(s: np.ndarray, num: int, den: int) -> tuple[bytes, bytes, bytes]:
+    """The parity bitmap, and 32 bits of each token of the prefixes under the second and the third order."""
+    p = prefix(len(s), num, den)
+    return parity(s), np.unique(s[:p].astype(np.uint32)).tobytes(), np.unique(s[-p:].astype(np.uint32)).tobytes()
+
+
+def shared(a: bytes, b: bytes) -> bool:
+    """Whether two prefixes have a token in common."""
+    u, v = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    if len(u) > len(v):
+        u, v = v, u
+    return bool((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).any())
+
+
+def first_pass(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, mark, n, cid and signature for each document; and rows with chunk and data: hashed counts of shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), *SIGNED, ("chunk", pa.int32()), ("data", pa.binary())])
 
     def run(it: Batches) -> Batches:
         total = np.zeros(BUCKETS, np.uint32)
@@ -87,14 +106,15 @@ def first_pass(docs: DataFrame, width: int) -> DataFrame:
             at, times = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]) >> np.uint64(42), return_counts=True)
             total[at] += times.astype(np.uint32)
             k = len(sets)
-            yield batch(schema, [b["doc_id"], [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets], [parity(s) for s in sets], [None] * k, [None] * k])
+            signed = [signature(s, num, den) if len(s) else (None, None, None) for s in sets]
+            yield batch(schema, [b["doc_id"], b["mark"], [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets], *([x[j] for x in signed] for j in range(3)), [None] * k, [None] * k])
         c = zstandard.ZstdCompressor(level=1)
         for k in range(CHUNKS):
             part = total[k * SPAN : (k + 1) * SPAN]
             if part.any():
-                yield batch(schema, [[None], [None], [None], [None], [k], [c.compress(part.tobytes())]])
+                yield batch(schema, [[None]] * 7 + [[k], [c.compress(part.tobytes())]])
 
-    return written(docs.mapInArrow(run, "doc_id long, n long, cid long, bits binary, chunk int, data binary"), "sets")
+    return written(docs.mapInArrow(run, "doc_id long, mark long, n long, cid long, bits binary, second binary, third binary, chunk int, data binary"), "sets")
 
 
 def frequencies(first: DataFrame) -> tuple[np.ndarray, float]:
@@ -178,22 +198,26 @@ def stars(rows: DataFrame) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose parity bitmaps allow a link."""
+    """The pairs whose signatures allow a link: parity bitmaps, then the second and third orders' prefixes."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    parts = [f"{c}{x}" for x in ("bits", "second", "third") for c in "ab"]
 
     def run(it: Batches) -> Batches:
         for x in it:
             most = (den - num) * (x["na"].to_numpy() + x["nb"].to_numpy()) // (den + num)
-            kept = [(a, b) for a, b, p, q, m in zip(*(x[c].to_pylist() for c in ("a", "b", "pa", "pb")), most.tolist(), strict=True) if may_link(p, q, m)]
+            kept = [
+                (a, b) for a, b, m, pa_, pb, sa, sb, ta, tb in zip(x["a"].to_pylist(), x["b"].to_pylist(), most.tolist(), *(x[c].to_pylist() for c in parts), strict=True)
+                if may_link(pa_, pb, m) and shared(sa, sb) and shared(ta, tb)
+            ]
             if kept:
                 yield batch(schema, list(zip(*kept, strict=True)))
 
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("bits").alias(f"p{c}"), F.col("n").alias(f"n{c}"))
-    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), *(F.col(x).alias(f"{c}{x}") for x in ("bits", "second", "third")))
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", *parts).mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets pass the other two orders' prefix filters and then the exact test."""
+    """The pairs (a, b) whose sets pass the exact test."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Batches) -> Batches:
@@ -201,9 +225,6 @@ def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             kept = []
             for a, b, sa, sb in zip(x["a"].to_pylist(), x["b"].to_pylist(), x["sa"].to_pylist(), x["sb"].to_pylist(), strict=True):
                 u, v = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                p, q = prefix(len(u), num, den), prefix(len(v), num, den)
-                if not len(np.intersect1d(u[:p], v[:q], assume_unique=True)) or not len(np.intersect1d(u[-p:], v[-q:], assume_unique=True)):
-                    continue
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 if den * both >= num * (len(u) + len(v) - both):
                     kept.append((a, b))
@@ -294,68 +315,86 @@ def small_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(run, "a long, b long").distinct()
 
 
-def tile_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links that unite components within groups of large blocks. members: team, cid, n, root.
-    A team's members are dealt into chunks by hash; each pair of chunks is a task that counts all common
-    tokens by matrix products and returns only links that unite."""
-    sized = members.join(sets, "cid")
-    teams = sized.groupBy("team").agg(F.count("*").alias("g"), F.sum(F.length("data")).alias("bytes"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
-    k = F.greatest(F.ceil(F.col("g") / TILE), F.ceil(F.col("bytes") / (8 << 20))).cast("int")
-    teams = teams.select("team", k.alias("k"))
-    dealt = sized.join(teams, "team").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
-    tiles = dealt.select("team", "cid", "n", "root", "data", "part", other).select("team", "cid", "n", "root", "data", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def folded(bits: np.ndarray, to: int) -> np.ndarray:
+    """Rows of bitmaps folded upon themselves to ``to`` bytes: neighbouring bits become one."""
+    while bits.shape[1] > to:
+        x = np.unpackbits(bits, axis=1)
+        bits = np.packbits(x[:, ::2] ^ x[:, 1::2], axis=1)
+    return bits
+
+
+def close_pairs(n: np.ndarray, root: np.ndarray, bits: list[bytes], part: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows across components whose lengths and parity bitmaps allow a link: within the one part, or
+    of the one part with the other."""
+    sizes = np.array([len(x) for x in bits])
+    groups = [(z, p, np.nonzero((sizes == z) & (part == p))[0]) for z in np.unique(sizes) for p in np.unique(part)]
+    two, out = len(np.unique(part)) > 1, [(np.empty(0, int), np.empty(0, int))]
+    rows = {g: np.frombuffer(b"".join([bits[k] for k in at]), np.uint8).reshape(len(at), z) for g, (z, _, at) in enumerate(groups)}
+    for g, (z, p, at) in enumerate(groups):
+        for h, (y, q, to) in enumerate(groups):
+            if not len(at) or not len(to) or (p >= q if two else g > h):
+                continue
+            u, v = (np.ascontiguousarray(folded(rows[x], min(z, y))).view(np.uint64) for x in (g, h))
+            step = max(1, (1 << 25) // max(v.size * 8, 1))
+            for lo in range(0, len(at), step):
+                far = np.bitwise_count(u[lo : lo + step, None] ^ v[None]).sum(2, dtype=np.int32)
+                na, nb = n[at[lo : lo + step], None], n[to][None]
+                ok = (far <= (den - num) * (na + nb) // (den + num)) & (np.maximum(na, nb) * num <= np.minimum(na, nb) * den) & (root[at[lo : lo + step], None] != root[to][None])
+                k, j = np.nonzero(ok)
+                k, j = at[lo + k], to[j]
+                keep = (k < j) | two | (g != h)
+                out.append((k[keep], j[keep]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def tile_pairs(members: DataFrame, classes: DataFrame, num: int, den: int, few: int | None) -> DataFrame:
+    """a, b, more: pairs across components within the teams of large blocks (members: team, cid, root) whose signatures
+    allow a link; of any two components' in a tile at most ``few``, and whether there are more. A team's
+    members are dealt into parts by hash, and each pair of parts is a task."""
+    sized = members.join(classes.select("cid", "n", "bits", "second", "third"), "cid")
+    teams = sized.groupBy("team").agg(F.count("*").alias("g"), F.sum(F.length("bits") + F.length("second") + F.length("third")).alias("bytes"))
+    k = F.greatest(F.ceil(F.col("g") / TILE), F.ceil(F.col("bytes") / (4 << 20))).cast("int")
+    dealt = sized.join(teams.select("team", k.alias("k")), "team").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+    own = ("team", "cid", "n", "root", "bits", "second", "third", "part")
+    tiles = dealt.select(*own, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select(*own, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
     def compare(t: pa.Table) -> pa.Table:
-        cid, n, root = (t[c].to_numpy() for c in ("cid", "n", "root"))
-        number = np.unique(root, return_inverse=True)[1]
-        own = [np.frombuffer(x, np.uint64) for x in t["data"].to_pylist()]
-        flat, doc = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-        token, times = np.unique(flat, return_inverse=True, return_counts=True)[1:]
-        common = times[token] > 1
-        token, doc = np.unique(token[common], return_inverse=True)[1], doc[common]
-        order = np.argsort(token, kind="stable")
-        token, doc = token[order], doc[order]
-        both = np.zeros((len(own), len(own)), np.float32)
-        for at in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
-            lo, hi = np.searchsorted(token, [at, at + 4096])
-            x = np.zeros((len(own), 4096), np.float32)
-            x[doc[lo:hi], token[lo:hi] - at] = 1
-            both += x @ x.T
-        link = (den * both.astype(np.int64) >= num * (n[:, None] + n[None, :] - both.astype(np.int64))) & (number[:, None] != number[None, :])
-        up = np.arange(number.max() + 1)
-        out = []
-
-        def find(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for a, b in zip(*np.nonzero(np.triu(link)), strict=True):
-            x, y = find(number[a]), find(number[b])
-            if x != y:
-                up[x] = y
-                out.append((cid[a], cid[b]))
-        return pa.Table.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], schema=schema)
-
-    return tiles.groupBy("team", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-SMALL, TILE = 48, 512
-
-
-def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, class_id (least id with an equal set) and component_id for each row of ``docs``."""
+        cid, root = t["cid"].to_numpy(), np.unique(t["root"].to_numpy(), return_inverse=True)[1]
+        bits, second, third = (t[c].to_pylist() for c in ("bits", "second", "third"))
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        part = t["part"].to_numpy()
+        u, v = close_pairs(t["n"].to_numpy(), root, bits, part, num, den) if i == j or len(np.unique(part)) > 1 else (np.empty(0, int),) * 2
+        more = np.zeros(len(u), bool)
+        if few is not None and len(u):
+            key = np.minimum(root[u], root[v]) * (root.max() + 1) + np.maximum(root[u], root[v])
+            order = np.argsort(key, kind="stable")
+            u, v, key = u[order], v[order], key[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            rank = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+            more = np.append(rank[1:] >= few, False) & (rank == few - 1)
+            u, v, more = u[rank < few], v[rank < few], more[rank < few]
+        ok = np.array([m or shared(second[x], second[y]) and shared(third[x], third[y]) for x, y, m in zip(u, v, more, strict=True)], bool)
+        u, v, more = u[ok], v[ok], more[ok]
+        return pa.Table.from_arrays([pa.array(np.minimum(cid[u], cid[v])), pa.array(np.maximum(cid[u], cid[v])), pa.array(more)], schema=schema)
+
+    return tiles.groupBy("team", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
+
+
+SMALL, TILE, FEW = 48, 4096, 4
+
+
+def joined(docs: DataFrame, width: int, num: int, den: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text, mark): each row's class (doc_id, mark, n, cid); the classes (cid, doc_id); and the roots
+    (node, root) of those that have links. ``by_id`` links texts under one id."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = documents(docs)
-    first = first_pass(docs, width)
-    of_doc = first.where("chunk is null").select("doc_id", "n", "cid", "bits")
-    reps = written(of_doc.where("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    first = first_pass(docs, width, num, den)
+    of_doc = first.where("chunk is null").select("doc_id", "mark", "n", "cid")
+    usable_rows = first.where("cid is not null and doc_id is not null")
+    reps = written(usable_rows.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "bits", "second", "third"))), "classes")
     freq = spark.sparkContext.broadcast(frequencies(first))
-    usable = docs.where("doc_id is not null")
+    usable = docs.where("doc_id is not null").select("doc_id", "text")
     near = F.greatest("na", "nb") * num <= F.least("na", "nb") * den
     one = written(stars(blocks(usable, freq, width, num, den)), "stars")
     split = one.where("salt >= 0 and a = b")
@@ -364,12 +403,17 @@ def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     tested = written(rows.where(near).select("a", "b").distinct(), "pairs")
     good = written(plausible(tested, reps, num, den), "plausible")
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = written(sets_of(usable, reps.join(ends(good), "cid").select("doc_id", "cid"), width), "data")
-    # texts under one id are one document
-    named = of_doc.where("cid is not null and doc_id is not null").select("doc_id", "cid")
-    twice = named.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("doc_id", "a")
-    same = named.join(twice, "doc_id").where("a <> cid").select("a", F.col("cid").alias("b"))
-    links = written(similar(good, sets, num, den).unionByName(same), "links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        sets = written(sets_of(usable, reps.join(ends(pairs), "cid").select("doc_id", "cid"), width), "data")
+        return similar(pairs, sets, num, den)
+
+    links = linked(good)
+    if by_id:  # texts under one id are one document
+        named = of_doc.where("cid is not null and doc_id is not null").select("doc_id", "cid")
+        twice = named.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("doc_id", "a")
+        links = links.unionByName(named.join(twice, "doc_id").where("a <> cid").select("a", F.col("cid").alias("b")))
+    links = written(links, "links")
     roots = components(links)
     # blocks that still hold several components
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -378,21 +422,52 @@ def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     side = lambda c, n, r: F.struct(F.col(c).alias("cid"), F.col(n).alias("n"), F.col(r).alias("root"))
     left = written(named.join(open_tokens, "token").select("token", "m", "a", "b", F.explode(F.array(side("a", "na", "ra"), side("b", "nb", "rb"))).alias("x")).select("token", "m", "a", "b", "x.*"), "open")
     few = left.where(F.col("m") < SMALL).select("token", "cid", "n", "root").distinct()
-    more = small_pairs(few, num, den).join(tested, ["a", "b"], "left_anti")
+    more = plausible(small_pairs(few, num, den).join(tested, ["a", "b"], "left_anti"), reps, num, den)
     many = left.where(F.col("m") >= SMALL)
-    more = written(plausible(more, reps, num, den), "plausible")
-    team = components(many.select("a", "b"))
-    members = written(many.select("cid", "n", "root").distinct().join(team.select(F.col("node").alias("cid"), F.col("root").alias("team")), "cid"), "members")
-    sets2 = written(sets_of(usable, reps.join(ends(more).union(members.select("cid")).distinct(), "cid").select("doc_id", "cid"), width), "data")
-    links2 = written(similar(more, sets2, num, den).unionByName(tile_links(members, sets2, num, den)), "links")
-    roots = components(links.unionByName(links2))
-    named = reps.select("cid", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    members = written(many.select("cid", "root").distinct().join(components(many.select("a", "b")).select(F.col("node").alias("cid"), F.col("root").alias("team")), "cid"), "members")
+    tiles = written(tile_pairs(members, reps, num, den, FEW), "tiles")
+    more = written(more.unionByName(tiles.select("a", "b").join(tested, ["a", "b"], "left_anti")).distinct(), "plausible")
+    links = written(links.unionByName(linked(more)), "links")
+    roots = components(links)
+    if not tiles.where("more").isEmpty():  # components whose first pairs didn't unite them: all their other ones
+        now = members.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        rest = tile_pairs(now, reps, num, den, None).select("a", "b").join(tested.unionByName(more), ["a", "b"], "left_anti")
+        roots = components(links.unionByName(linked(written(rest.distinct(), "plausible"))))
+    return of_doc, reps.select("cid", "doc_id"), roots
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    return documents(docs).withColumn("mark", F.xxhash64("text"))
+
+
+def class_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, class_id (least id with an equal set) and component_id for each row of ``docs``."""
+    of_doc, reps, roots = joined(marked(docs), width, num, den, True)
+    named = reps.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = written(named.join(least, "root").select("cid", F.col("doc_id").alias("class_id"), "component_id"), "components")
-    out = of_doc.drop("bits").join(classes, "cid", "left")
+    out = of_doc.join(classes, "cid", "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id")).alias(c)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own("class_id"), own("component_id"))
 
 
+def survivors(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` (with doc_id, text and whatever else) without near-duplicates: of each component of similar texts one row of the
+    least id stays. Ids link nothing here, so a text that none is similar to stays, whatever else its id has;
+    rows without words or id all stay."""
+    keyed = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("__id", F.col("doc_id").cast("long"))
+    of_doc, _, roots = joined(marked(docs), width, num, den, False)
+    named = of_doc.where("cid is not null and doc_id is not null").select("doc_id", "mark", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rows = named.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("k"))
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("kept"))
+    judged = rows.join(least, "root").withColumn("stays", F.col("kept") == F.struct("doc_id", "mark"))
+    gone = written(judged.where("not stays or k > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "stays"), "gone")
+    kept = keyed.join(gone.select("__id", "__mark"), ["__id", "__mark"], "left_anti")
+    # rows that are repeated whole, or but for other columns: one of them
+    again = keyed.join(gone.where("stays").select("__id", "__mark"), ["__id", "__mark"], "left_semi")
+    again = again.groupBy("__id", "__mark").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return kept.select(*docs.columns).unionByName(again)
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_components(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")

@@ -100,7 +100,7 @@ def test_close_pairs_hold_all_links():
     rng = np.random.default_rng(2)
     sets = []
     for k in range(60):
-        s = rng.choice(np.arange(1, 400, dtype=np.uint64), rng.integers(3, 200), replace=False) if k % 3 else sets[-1][rng.random(len(sets[-1])) > 0.04]
+        s = rng.choice(np.arange(1, 400, dtype=np.uint64), rng.integers(3, 200), replace=False) if k % 3 or not sets else sets[-1][rng.random(len(sets[-1])) > 0.04]
         sets.append(np.unique(s) if len(s) else np.array([7], np.uint64))
     n, root, bits = np.array([len(s) for s in sets]), np.arange(60), [ngram_join.parity(ngram_join.mixed(s)) for s in sets]
     links = {(a, b) for a in range(60) for b in range(a + 1, 60) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
