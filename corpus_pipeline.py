@@ -33,13 +33,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (five words, 0.8) the document of least id stays; documents
     without words are no one's duplicates."""
-    found = ngram_join.class_components(docs, width=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # a repeated id is one document, and in one component: of its rows one stays
-    twice = kept.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").select("doc_id")
-    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.*")
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again.select(*COLUMNS))
+    return ngram_join.survivors(docs.select(*COLUMNS), width=5, num=80, den=100)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
