@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def kept_in_worker(key: str, make):  # noqa: ANN001, ANN201
     """What ``make`` gives, made once for each Python process: functions arrive in a worker by value,
     without their module's state, while the process serves many tasks."""
@@ -25,15 +24,16 @@ def kept_in_worker(key: str, make):  # noqa: ANN001, ANN201
     return store[key]
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -44,7 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     survives lost executors, as the files do not belong to one."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # read once or twice, so space counts for more than speed
     return spark.read.schema(df.schema).parquet(path)
 
 
