@@ -5,8 +5,11 @@ fewer words the whole sequence is one shingle). Sketches of parts merge by union
 the whole; two of them estimate resemblance and containment, one alone the distinct shingle count.
 
 Neighbours in id order are found without a global sort of texts: ids are dealt into ranges of about
-equal size by quantiles (at most 4,096), each range is a window, and the first row of the next range
-is added to each one.
+``rows_a_range`` rows, each range is a window, and the first row of the next range is added to each one.
+Ranges are even parts of at most 4,096 groups, which quantiles bound; their number grows with the input
+without limit, and none of the ranges' bounds but the groups' goes to the driver. Where ids lie unevenly within
+a group a range is larger; windows spill. The rows added are found by a broadcast of the ranges' first ids while
+these are few (``most_sent``), else by a shuffled join.
 
 Defined cases: null texts are empty; an empty text has an empty sketch, whose resemblance is 1 to
 another empty one and 0 to others; repeated ids are ordered by their text; a null id comes first; a
@@ -72,19 +75,33 @@ def _range_of(key: str, splits: list[int]) -> Column:
     return (coarse * 64 + F.when(fine >= 0, fine).otherwise(0)).cast("int")
 
 
-def in_order(docs: DataFrame, rows_a_range: int = 500, most_ranges: int = 4096) -> DataFrame:
-    """doc_id, text, and for windows: range, extra (a row repeated from the next range), at."""
+def in_order(docs: DataFrame, rows_a_range: int = 500, most_groups: int = 4096, most_sent: int = 1 << 20) -> DataFrame:
+    """doc_id, text, and for windows: range (a group and a part of it), extra (a row repeated from the next range), at."""
     d = documents(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = d.count()
-    ranges = max(1, min(most_ranges, n // rows_a_range))
-    splits = d.agg(F.percentile_approx("at", [k / ranges for k in range(1, ranges)], 20_000)).first()[0] if ranges > 1 else []
-    d = d.withColumn("range", _range_of("at", sorted(set(splits or []))))
-    firsts = sorted((r["range"], r["at"]) for r in d.groupBy("range").agg(F.min("at").alias("at")).collect())
-    if not firsts:
+    n, low, high = d.agg(F.count("*"), F.min("at"), F.max("at")).first()
+    groups = max(1, min(most_groups, n // rows_a_range))
+    splits = sorted(set(d.agg(F.percentile_approx("at", [k / groups for k in range(1, groups)], 20_000)).first()[0] or [])) if groups > 1 else []
+    parts = max(1, n // (rows_a_range * groups))
+    d = d.withColumn("group", _range_of("at", splits))
+    if parts > 1:  # doubles: ids may lie further apart than a long holds, and any monotone place will do
+        bounds = [float(x) for x in [low, *splits, high + 1]]
+        place = lambda xs, k: F.get(F.array(*[F.lit(x) for x in xs]), k)
+        left, right = place(bounds, F.col("group")), place(bounds, F.col("group") + 1)
+        part = F.floor((F.col("at").cast("double") - left) / F.greatest(right - left, F.lit(1.0)) * parts)
+        d = d.withColumn("part", F.greatest(F.lit(0), F.least(F.lit(parts - 1), part)).cast("long"))
+    else:
+        d = d.withColumn("part", F.lit(0).cast("long"))
+    d = d.select("doc_id", "text", "at", F.struct("group", "part").alias("range"))
+    firsts = d.groupBy("range").agg(F.min("at").alias("at")).withColumn("group", F.col("range.group"))
+    ends = [r[1] for r in firsts.groupBy("group").agg(F.max("range")).orderBy("group").collect()]  # a row a group
+    if not ends:
         return d.withColumn("extra", F.lit(0))
     spark = docs.sparkSession
-    follow = spark.createDataFrame([(at, firsts[k - 1][0]) for k, (_, at) in enumerate(firsts)], "at long, to int")  # at most most_ranges rows
-    extra = d.join(F.broadcast(follow), "at").select("doc_id", "text", "at", F.col("to").alias("range"), F.lit(1).alias("extra"))
+    before = spark.createDataFrame([(tuple(e), ends[k - 1]) for k, e in enumerate(ends)], "e struct<group: int, part: long>, last struct<group: int, part: long>").select(F.col("e.group").alias("group"), "last")
+    w = Window.partitionBy("group").orderBy("range")
+    follow = firsts.join(F.broadcast(before), "group").select("at", F.coalesce(F.lag("range").over(w), "last").alias("to"))
+    follow = F.broadcast(follow) if len(ends) * parts <= most_sent else follow
+    extra = d.drop("range").join(follow, "at").select("doc_id", "text", "at", F.col("to").alias("range"), F.lit(1).alias("extra"))
     return d.withColumn("extra", F.lit(0)).unionByName(extra)
 
 
