@@ -1,30 +1,35 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Of a model file only the lexicon (a trie from strings to piece ids) is compiled into a transducer. The
-normaliser (character rules, white space, dummy prefix) is no transducer but substitutions by regular
-expressions before it, and byte fallback is a branch outside the lattice. Each normalised input is
-composed with the lexicon lazily, and the tropical semiring's shortest path through the lattice of its
-pieces is the encoding; the registered query's model is BPE, so it takes the depth-first search below and
-no query reaches the shortest path of unigram models. For unigram models an arc weighs minus its piece's log-probability. For BPE models an arc
-weighs 0 and the composition has a further acceptor of neighbouring pieces: a pair weighs 0 if merging
-its characters by rank gives just these two pieces, and infinity if not. A sequence of pieces is what
-BPE gives if and only if all its neighbours pass, so the path of weight 0 is unique, and is found
-depth first from the longest piece on, with dead ends remembered.
+A model file is compiled into three transducers. ``Rewriter`` replaces by the normaliser's character rules,
+the longest that begins at a place (a trie, deterministic). ``Spacing`` treats white space: three states that
+drop, join and escape spaces, and the dummy prefix as what the start emits. ``Lexicon`` goes from characters
+to pieces: a trie whose arcs back to the root emit piece ids, and for a character without a piece of its own an
+arc that emits its byte pieces, or the unknown id. An input is composed with the first two, which are functions,
+so the result is one string; that is composed lazily with the lexicon, state by state as the search reaches
+it, and the tropical semiring's shortest path is the encoding, for both kinds of model by one search.
+
+For unigram models an arc weighs minus its piece's log-probability, and for an unknown character what the
+library takes. For BPE models an arc weighs 0 or infinity and the states also hold the piece before: two pieces
+may be neighbours if merging their characters by rank gives just these two. A sequence of pieces is what BPE
+gives if and only if all its neighbours may be, so the path of weight 0 is unique. Which merges would have
+crossed the boundary is read from the pieces' own last merges (``Merges``).
 
 Paths of segments (stretches that no piece crosses) are kept in each Python process. Texts are mapped
 where they lie, without a shuffle; the model's path must be readable on every worker, as installed
 vocabularies are.
 
 Defined cases: null or empty texts have no ids; characters that the model doesn't know become byte
-pieces (or the unknown id without byte fallback); repeated rows are encoded each; other columns are
-kept, and columns called ids or decoded are replaced. U+2581 in a text is the model's space sign, so it
-decodes as a space."""
+pieces (or, a run of them, one unknown id without byte fallback); user-defined pieces are matched first; repeated
+rows are encoded each; an empty table gives no rows; other columns are kept, and columns called ids or decoded
+are replaced. U+2581 in a text is the model's space sign, so it decodes as a space."""
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,6 +95,171 @@ def character_rules(blob: bytes) -> dict[bytes, bytes]:
     return out
 
 
+class Rewriter:
+    """Character rules as a deterministic transducer: from the root of their trie the longest rule that
+    matches, or else the character itself."""
+
+    def __init__(self, rules: dict[str, str]):
+        self.trie: dict = {}
+        for key, out in rules.items():
+            node = self.trie
+            for c in key:
+                node = node.setdefault(c, {})
+            node[""] = out
+
+    def __call__(self, text: str) -> str:
+        if not self.trie:  # the identity
+            return text
+        out, at = [], 0
+        while at < len(text):
+            node, end, found = self.trie, at + 1, text[at]
+            for k in range(at, len(text)):
+                node = node.get(text[k])
+                if node is None:
+                    break
+                if "" in node:
+                    end, found = k + 1, node[""]
+            out.append(found)
+            at = end
+        return "".join(out)
+
+
+class Spacing:
+    """White space as a transducer of three states: before the first word, in a word, and after one, where
+    what the space emits waits for the next word. Without squeezing only the second is left, a map of characters."""
+
+    def __init__(self, squeeze: bool, dummy: bool, escape: bool):
+        self.squeeze, self.sign = squeeze, SPACE if escape else " "
+        self.start = self.sign if dummy else ""
+
+    def __call__(self, text: str) -> str:
+        if not self.squeeze:
+            return self.start + text.replace(" ", self.sign) if text else ""
+        out, waiting = [], self.start  # what the next word's first character is preceded by
+        for c in text:
+            if c != " ":
+                out.append(waiting + c)
+                waiting = ""
+            elif out:
+                waiting = self.sign
+        return "".join(out)
+
+
+class Merges:
+    """Which pieces of a BPE model may be neighbours."""
+
+    def __init__(self, ranks: dict[str, float]):
+        self.ranks, self.kept = ranks, {}
+        self.parts: dict[str, tuple[str, str]] = {}
+        self.odd: set[str] = set()  # pieces that rank no later than a part of theirs, or have such a part
+        for p in sorted(ranks, key=len):
+            if len(p) > 1:
+                *_, before = self.steps(p)
+                if len(before) == 2:
+                    self.parts[p] = (before[0], before[1])
+                    if any(x in self.odd or len(x) > 1 and ranks[x] >= ranks[p] for x in before):
+                        self.odd.add(p)
+        self.spines: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
+
+    def steps(self, text: str) -> Iterator[list[str]]:
+        """What merging by rank goes through: at last, if all is merged, the two parts of the whole, else its result."""
+        own = list(text)
+        while True:
+            best, at = None, -1
+            for k in range(len(own) - 1):
+                r = self.ranks.get(own[k] + own[k + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, k
+            if at < 0 or len(own) == 2:
+                yield own + [""] * (at < 0 and len(own) == 2)  # two parts that don't merge aren't one piece's
+                return
+            own = [*own[:at], own[at] + own[at + 1], *own[at + 2 :]]
+
+    def whole(self, p: str) -> bool:
+        """Whether merging gives the piece itself."""
+        return len(p) == 1 or p in self.parts
+
+    def spine(self, p: str, side: int) -> list[tuple[str, float, float]]:
+        """The part at an end (side) of p before each merge, latest first, with the ranks of the merges that
+        make and that use it."""
+        found = self.spines.get((p, side))
+        if found is None:
+            found, use, x = [], float("inf"), p
+            while True:
+                made = self.ranks[x] if len(x) > 1 else -1.0
+                found.append((x, made, use))
+                if len(x) == 1:
+                    break
+                use, x = made, self.parts[x][side]
+            self.spines[p, side] = found
+        return found
+
+    def neighbours(self, p: str, q: str) -> bool:
+        """Whether no merge goes across the boundary of p and q (both whole): back from the last merges, at any
+        time the parts that touch must not have a merge before the one that uses either (if it's the
+        same rank, the one to the left)."""
+        if p in self.odd or q in self.odd:
+            *_, last = self.steps(p + q)
+            return last[:2] == [p, q] and p + q not in self.ranks
+        ranks, left, right = self.ranks, self.spine(p, 1), self.spine(q, 0)
+        i = j = 0
+        while True:
+            x, made_x, use_x = left[i]
+            y, made_y, use_y = right[j]
+            r = ranks.get(x + y)
+            if r is not None and r < use_x and r <= use_y:
+                return False
+            if made_x > made_y:
+                i += 1
+            elif made_y >= 0:
+                j += 1
+            else:
+                return True
+
+
+class Lexicon:
+    """From characters to pieces: a trie whose nodes are (children, piece that ends there or None), and for each
+    piece or unknown character its weight and the ids it emits."""
+
+    def __init__(self, weights: dict[str, float], ids: dict[str, int], unknown: float, fallback: dict[int, int], unknown_id: int):
+        self.root: tuple = ({}, None)
+        self.weights, self.unknown, self.fallback, self.unknown_id = weights, unknown, fallback, unknown_id
+        self.emitted = {p: (ids[p],) for p in weights}
+        tree: dict = {}
+        for p in weights:
+            node = tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
+        self.root, self.longest = self.frozen(tree), max(map(len, weights), default=1)
+
+    def frozen(self, node: dict) -> tuple:
+        return {c: self.frozen(x) for c, x in node.items() if c}, node.get("")
+
+    def arcs(self, text: str, at: int) -> list[str]:
+        """The pieces that lead from ``at``, the shortest first; the one character if it is none itself."""
+        out, (node, _) = [], self.root
+        for c in text[at : at + self.longest]:
+            below = node.get(c)
+            if below is None:
+                break
+            node, piece = below
+            if piece is not None:
+                out.append(piece)
+        if not out or len(out[0]) > 1:
+            out.insert(0, text[at])
+        return out
+
+    def weight(self, piece: str) -> float:
+        return self.weights.get(piece, self.unknown)
+
+    def emits(self, piece: str) -> tuple[int, ...]:
+        found = self.emitted.get(piece)
+        if found is None:
+            return tuple(self.fallback[b] for b in piece.encode()) if self.fallback else (self.unknown_id,)
+        return found
+
+
 class Transducer:
     def __init__(self, path: str):
         self.pieces: list[str] = []
@@ -109,130 +279,121 @@ class Transducer:
             elif k == 3:
                 normaliser = v
         t, n = dict(fields(trainer)), dict(fields(normaliser))
-        self.bpe, self.fallback = t.get(3, 1) == 2, bool(t.get(35, 0))
-        self.dummy, self.squeeze, self.escape = (bool(n.get(k, 1)) for k in (3, 4, 5))
-        self.rules = {k.decode(): v.decode() for k, v in character_rules(n.get(2, b"")).items()}
-        self.rule = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))) if self.rules else None
-        self.ids = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)) if kind in (NORMAL, USER)}
+        self.bpe, fallback = t.get(3, 1) == 2, bool(t.get(35, 0))
+        self.dummy, squeeze, escape = (bool(n.get(k, 1)) for k in (3, 4, 5))
+        self.rewriter = Rewriter({k.decode(): v.decode() for k, v in character_rules(n.get(2, b"")).items()})
+        self.spacing = Spacing(squeeze, self.dummy, escape)
+        ids = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)) if kind in (NORMAL, USER)}
+        user = {p for p, k in ids.items() if self.kinds[k] == USER}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.bytes = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)) if kind == BYTE}
-        self.byte_of = {k: b for b, k in self.bytes.items()}
+        by_byte = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)) if kind == BYTE}
+        self.byte_of = {k: b for b, k in by_byte.items()}
         self.silent = {k for k, kind in enumerate(self.kinds) if kind == CONTROL}
-        self.known = {c for p in self.ids for c in p}
-        self.longest = max(map(len, self.ids))
-        # segments: no piece holds a space sign after another character
-        whole = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cut = re.compile(r"(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        # the lexicon transducer, as a trie
-        self.trie: dict = {}
-        for p, k in self.ids.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = k
-        self.pair: dict[tuple[int, int], bool] = {}
+        normal = {p: self.scores[k] for p, k in ids.items() if p not in user}
+        if self.bpe:
+            self.merges = Merges({p: -x for p, x in normal.items()})
+            weights, unknown = {p: 0.0 for p in normal if self.merges.whole(p)}, 0.0
+        else:
+            # fixed values: the library's bonus of user-defined pieces and penalty of unknown characters
+            most, least = max(normal.values()), min(normal.values())
+            weights = {p: -normal[p] if p in normal else 0.1 - most * len(p.encode()) for p in ids}
+            unknown = 10.0 - least
+        self.lexicon = Lexicon(weights, ids, unknown, by_byte if fallback else {}, self.unknown)
+        self.ids, self.user = ids, None
+        if user and self.bpe:
+            self.user = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")")
+        # segments, as fine as no piece crosses: with the spaces before it a run of letters or of others, or of both
+        cuts = (f"{SPACE}*[^\\W\\d_]+|{SPACE}*[^{SPACE}\\w]+|{SPACE}*[\\d_]+|{SPACE}+", f"{SPACE}*[^\\W\\d_]+|{SPACE}*(?:[\\d_]|[^{SPACE}\\w])+|{SPACE}+", f"{SPACE}*[^{SPACE}]+|{SPACE}+", r"(?s:.+)")
+        self.cut = next(c for c in map(re.compile, cuts) if all(c.fullmatch(p) and c.match(p).end() == len(p) for p in ids))
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
-        if self.rule:
-            text = self.rule.sub(lambda m: self.rules[m[0]], text)
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if self.dummy and text:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
-
-    def merge(self, text: str) -> list[str]:
-        """Merging by rank, of a short string: what decides whether two pieces may be neighbours."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                j = self.ids.get(parts[k] + parts[k + 1])
-                if j is not None and (best is None or self.scores[j] > best):
-                    best, at = self.scores[j], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return self.spacing(self.rewriter(text))
 
-    def neighbours(self, a: int, b: int) -> bool:
-        """Weight 0 (true) or infinity of two pieces beside each other; a = -1: whether b is a result at all."""
-        found = self.pair.get((a, b))
-        if found is None:
-            p, q = "" if a < 0 else self.pieces[a], self.pieces[b]
-            found = self.merge(p + q) == ([p, q] if p else [q])
-            if len(self.pair) > 1_000_000:
-                self.pair.clear()
-            self.pair[a, b] = found
+    def may_follow(self, p: str, q: str) -> bool:
+        """Weight 0 (true) or infinity of the step from p to q in a BPE model's composition."""
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        found = self.pairs[p, q] = self.merges.neighbours(p, q)
         return found
 
-    def arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the lexicon's pieces that begin at ``at``, the longest last."""
-        out, node = [], self.trie
-        for k in range(at, len(text)):
-            node = node.get(text[k])
-            if node is None:
-                break
-            if "" in node:
-                out.append((k + 1, node[""]))
-        return out
-
-    def shortest_bpe(self, text: str) -> list[int]:
-        stack: list[tuple[int, int, list[tuple[int, int]]]] = [(0, -1, self.arcs(text, 0))]
-        dead: set[tuple[int, int]] = set()
+    def shortest(self, text: str) -> list[int]:
+        """The ids of the shortest path through the composition, over states (place, piece before, state before)."""
+        state = self.depth_first(text) if self.bpe else self.least_cost(text)
+        pieces = []
+        while state[2] is not None:
+            pieces.append(state[1])
+            state = state[2]
+        return [k for p in reversed(pieces) for k in self.lexicon.emits(p)]
+
+    def depth_first(self, text: str) -> tuple:
+        """All finite weights are 0, so the first path to arrive is a shortest one: longest pieces first,
+        weights looked up when a step is taken, states that were left for good remembered."""
+        n, arcs, pairs, done = len(text), self.lexicon.arcs, self.pairs, set()
+        stack: list[tuple] = [(0, "", None)]
         while stack:
-            at, last, arcs = stack[-1]
-            if at == len(text):
-                return [p for _, p, _ in stack[1:]]
-            if not arcs:
-                dead.add((at, last))
-                stack.pop()
-                continue
-            end, piece = arcs.pop()
-            if (end, piece) not in dead and self.neighbours(last, piece) and (last >= 0 or self.neighbours(-1, piece)):
-                stack.append((end, piece, self.arcs(text, end) if end < len(text) else []))
-        raise ValueError(f"no path for {text!r}")
-
-    def shortest_unigram(self, text: str) -> list[int]:
-        weight, back = [0.0] + [float("inf")] * len(text), [(0, 0)] * (len(text) + 1)
+            state = stack.pop()
+            at, last, before = state
+            if at:
+                if before[0]:
+                    ok = pairs.get((before[1], last))
+                    if ok is None:
+                        ok = self.may_follow(before[1], last)
+                    if not ok:
+                        continue
+                if at == n:
+                    return state
+                if (at, last) in done:
+                    continue
+                done.add((at, last))
+            for p in arcs(text, at):
+                stack.append((at + len(p), p, state))
+        raise AssertionError("every character has an arc, so there is a path")
+
+    def least_cost(self, text: str) -> tuple:
+        """The place alone is the state: the least weight to each one, in order."""
+        best: list[tuple[float, tuple] | None] = [None] * (len(text) + 1)
+        best[0] = (0.0, (0, "", None))
         for at in range(len(text)):
-            for end, piece in self.arcs(text, at):
-                w = weight[at] - (self.scores[piece] if self.kinds[piece] != USER else 0.0)
-                if w < weight[end]:
-                    weight[end], back[end] = w, (at, piece)
-        out, at = [], len(text)
-        while at:
-            at, piece = back[at]
-            out.append(piece)
-        return out[::-1]
+            if best[at] is None:
+                continue
+            so_far, state = best[at]
+            for p in self.lexicon.arcs(text, at):
+                end, w = at + len(p), so_far + self.lexicon.weight(p)
+                if best[end] is None or w < best[end][0]:
+                    best[end] = (w, (end, p, state))
+        return best[-1][1]
 
     def path(self, segment: str) -> bytes:
-        """Ids (little-endian, 32 bits) of a segment; unknown characters split it."""
-        found = self.paths.get(segment)
-        if found is not None:
-            return found
-        out: list[int] = []
-        at = 0
-        while at < len(segment):
-            end = at
-            while end < len(segment) and segment[end] in self.known:
-                end += 1
-            if end > at:
-                out += (self.shortest_bpe if self.bpe else self.shortest_unigram)(segment[at:end])
-            while end < len(segment) and segment[end] not in self.known:
-                out += [self.bytes[b] for b in segment[end].encode()] if self.fallback else [self.unknown]
-                end += 1
-            at = end
-        found = np.array(out, "<u4").tobytes()
-        if len(self.paths) > 300_000:
-            self.paths.clear()
+        """Ids (little-endian, 32 bits) of a segment. Of the paths kept the older half goes when there are many."""
+        found = self.older.get(segment)
+        if found is None:
+            found = array("I", self.shortest(segment)).tobytes()
         if len(segment) < 200:
+            if len(self.paths) > 300_000:
+                self.older, self.paths = self.paths, {}
             self.paths[segment] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.path, self.cut.findall(self.normalise(text))))
+        text, kept, out = self.normalise(text), self.paths, []
+        for part in self.user.split(text) if self.user else (text,):
+            if self.user and part in self.ids and self.kinds[self.ids[part]] == USER:
+                out.append(array("I", [self.ids[part]]).tobytes())
+                continue
+            for segment in self.cut.findall(part):
+                found = kept.get(segment)
+                if found is None:
+                    found = self.path(segment)
+                    kept = self.paths
+                out.append(found)
+        if not self.lexicon.fallback:  # a run of unknown characters is one id
+            ids = np.frombuffer(b"".join(out), "<u4")
+            same = ids == self.unknown
+            return ids[~(same & np.concatenate([[False], same[:-1]]))].tobytes()
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         if not self.byte_of.keys() & set(ids):
@@ -244,7 +405,12 @@ class Transducer:
 
 
 def transducer(path: str) -> Transducer:
-    return kept_in_worker(f"transducer {path}", lambda: Transducer(path))
+    def load() -> Transducer:
+        out = Transducer(path)
+        gc.freeze()  # a lasting model need not be gone through by every collection
+        return out
+
+    return kept_in_worker(f"transducer {path}", load)
 
 
 def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
