@@ -2,13 +2,20 @@
 
 Vectors are compared within their label only. Equal vectors are one class, whose least id stands for
 it. A label's classes are dealt into shards of about ``shard_rows``; a task builds a shard's graph.
-Then blocks of queries search every shard of their label: a beam walks down the layers, and at the
-bottom goes on through everything at or above the threshold. A part of each block is compared with
-the whole shard; while that audit finds recall below ``recall``, the beam is doubled, and at the last
-covers the shard. Candidates are verified in double precision, and links unite components.
+Every query then goes to every shard of its label: a task holds one graph and streams the queries past it
+in sorted order, so a graph is shuffled once for every ``slice_rows`` queries and memory is that of one
+graph and one batch. A beam walks down the layers, and at the bottom goes on through everything at or
+above the threshold.
+
+Two audits widen the beam (it is doubled, and at the last covers the shard) until the share of true links
+found, which brute force over the shard tells, is ``recall``: one by probes, nodes of the graph turned to a
+cosine just above the threshold, so that each has a true link whatever the queries are; one by a part of
+each batch of queries, themselves left out of what counts. Candidates are verified in double precision, and
+links unite components.
 
 Graphs hold all vectors (nothing is sampled) and are bounded by the shard's size; a search's links
-leave the task only as counts and as the edges that unite, never as all pairs.
+leave the task only as counts, one edge a query and the edges that unite the shard's nodes, never as all
+pairs.
 
 Defined cases: a vector that is null, zero, or holds a null or a non-finite component, and any with a
 null label, links with nothing; vectors of different lengths don't link; a null id is carried and
@@ -17,12 +24,14 @@ table gives no rows; other columns aren't carried."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import batch, table, written
 from .components import components
 
 M, M0, EF_BUILD = 12, 24, 48
@@ -224,8 +233,92 @@ class Graph:
         return beam(self.x, self.layers[-1], q, e, ef, floor)[2]
 
 
-def near_duplicates(df: DataFrame, least: float = 0.98, recall: float = 0.99, ef: int = 32, shard_rows: int = 16_384, block_rows: int = 1_024, audited: int = 32) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of ``df`` (vec_id, embedding, label)."""
+def unite(root: np.ndarray, u: np.ndarray, w: np.ndarray) -> None:
+    """Joins the sets of u and w, pair by pair; root holds for each node the least one of its set."""
+    while not np.array_equal(root[u], root[w]):
+        low = np.minimum(root[u], root[w])
+        np.minimum.at(root, root[u], low)
+        np.minimum.at(root, root[w], low)
+        while not np.array_equal(root, root[root]):
+            root[:] = root[root]
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)  # before squares, which could overflow
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def probes(x: np.ndarray, most: int, cosine: float) -> np.ndarray:
+    """Nodes spread over the graph, each turned by a random direction to ``cosine``."""
+    at = np.unique(np.linspace(0, len(x) - 1, most).astype(int))
+    r = np.random.default_rng(len(x)).normal(size=(len(at), x.shape[1]))
+    r -= (r * x[at]).sum(1, keepdims=True) * x[at]
+    size = np.linalg.norm(r, axis=1, keepdims=True)
+    return np.where(size > 1e-9, cosine * x[at] + np.sqrt(1 - cosine**2) * r / np.maximum(size, 1e-9), x[at]).astype(np.float32)
+
+
+class Shard:
+    """A graph with what its queries have found so far."""
+
+    def __init__(self, row: dict, least: float, recall: float, ef: int, audited: int):
+        self.ids, self.weights = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64)
+        self.x = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["shape"])
+        self.graph = g = Graph.__new__(Graph)
+        g.x, g.top = self.x.astype(np.float32), np.array([row["top"]])
+        g.layers = [np.frombuffer(y, np.int32).astype(np.int64).reshape(len(self.x), -1) for y in row["layers"]]
+        self.least, self.floor, self.recall, self.audited = least, np.float32(least - 1e-4), recall, audited
+        self.root, self.wide, self.true, self.found = np.arange(len(self.x)), ef, 0, 0
+        q = probes(g.x, audited, least + (1 - least) / 4)
+        self.audit(q, q @ g.x.T >= least)
+
+    def audit(self, q: np.ndarray, true: np.ndarray) -> None:
+        """Widens the beam until the queries' true links are found."""
+        total = int(true.sum())
+        got = total
+        while total and self.wide < len(self.x):
+            got = int((true & self.graph.near(q, self.floor, self.wide)).sum())
+            if got >= self.recall * total:
+                break
+            self.wide *= 2
+            got = total  # unless the next beam is tried, the shard is covered
+        self.true, self.found = self.true + total, self.found + got
+
+    def links(self, ids: np.ndarray, own: np.ndarray) -> tuple[list, list, list]:
+        """Columns a, b, n: numbers of links, and for each query an edge to its first one."""
+        single = own.astype(np.float32)
+        sample = np.unique(np.linspace(0, len(own) - 1, self.audited).astype(int))
+        self.audit(single[sample], (single[sample] @ self.graph.x.T >= self.least) & (self.ids != ids[sample][:, None]))
+        a, b, n = [], [], []
+        for lo in range(0, len(own), 128):
+            part = slice(lo, lo + 128)
+            hits = self.graph.near(single[part], self.floor, self.wide) if self.wide < len(self.x) else single[part] @ self.graph.x.T >= self.floor
+            k, j = np.nonzero(hits)
+            ok = (np.einsum("ij,ij->i", own[part][k], self.x[j]) >= self.least) & (self.ids[j] != ids[part][k])
+            k, j = k[ok], j[ok]  # sorted by query
+            if not len(k):
+                continue
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
+            unite(self.root, j[head], j)
+            a += ids[part][k[first]].tolist()
+            b += self.ids[j[first]].tolist()
+            n += np.add.reduceat(self.weights[j], np.nonzero(first)[0]).tolist()
+        return a, b, n
+
+    def end(self) -> tuple[list, list, list]:
+        """The edges that unite the shard's own nodes, and a row with no a of what the audits looked for and found."""
+        moved = np.nonzero(self.root != np.arange(len(self.root)))[0]
+        return [*self.ids[moved].tolist(), None], [*self.ids[self.root[moved]].tolist(), self.true], [*[None] * len(moved), self.found]
+
+
+BUILT = pa.schema([("team", pa.string()), ("shard", pa.int32()), ("slices", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("shape", pa.int32()), ("layers", pa.list_(pa.binary())), ("top", pa.int32())])
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
+def searched(df: DataFrame, least: float = 0.98, recall: float = 0.99, ef: int = 32, shard_rows: int = 16_384, slice_rows: int = 131_072, audited: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: every row's class (vec_id, team, key); the classes (team, key, id, m and more); and
+    what was found (a, b, n): an edge, with the number of a's links in the shard or null, or, where a is null,
+    how many links the audits looked for (b) and found (n)."""
     e = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda c: c != 0)
@@ -233,86 +326,55 @@ def near_duplicates(df: DataFrame, least: float = 0.98, recall: float = 0.99, ef
     members = written(e.select("vec_id", "team", "key"), "vectors")
     one = e.where("team is not null").groupBy("team", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("v").alias("v"))
     teams = members.where("team is not null").groupBy("team").agg(F.count("*").alias("g"))
-    teams = teams.select("team", F.ceil(F.col("g") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("g") / block_rows).cast("int").alias("blocks"))
+    teams = teams.select("team", F.ceil(F.col("g") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("g") / slice_rows).cast("int").alias("slices"))
     dealt = one.join(teams, "team").withColumn("h", F.xxhash64("id"))
-    dealt = written(dealt.select("team", "key", "id", "m", "v", "shards", "blocks", F.pmod("h", "shards").cast("int").alias("shard"), F.pmod(F.shiftrightunsigned("h", 20), F.col("blocks")).cast("int").alias("block")), "dealt")
-    kind = "team string, shard int, blocks int, ids binary, weights binary, vectors binary, shape int, layers array<binary>, top int"
-    built = pa.schema([("team", pa.string()), ("shard", pa.int32()), ("blocks", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("shape", pa.int32()), ("layers", pa.list_(pa.binary())), ("top", pa.int32())])
+    dealt = written(dealt.select("team", "key", "id", "m", "v", "shards", "slices", F.pmod("h", "shards").cast("int").alias("shard"), F.pmod(F.shiftrightunsigned("h", 20), F.col("slices")).cast("int").alias("slice")), "dealt")
+    kind = "team string, shard int, slices int, ids binary, weights binary, vectors binary, shape int, layers array<binary>, top int"
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        v = v / np.abs(v).max(1, keepdims=True)  # before squares, which could overflow
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-    def vectors(t: pa.Table) -> np.ndarray:
-        return np.array(t["v"].combine_chunks().flatten()).reshape(len(t), -1)
+    def vectors(v: pa.Array) -> np.ndarray:
+        return np.array(v.flatten()).reshape(len(v), -1)
 
     def build(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        v = unit(vectors(t))
+        v = unit(vectors(t["v"].combine_chunks()))
         g = Graph(v)
-        row = [t["team"][0].as_py(), t["shard"][0].as_py(), t["blocks"][0].as_py(), t["id"].to_numpy().tobytes(), t["m"].to_numpy().tobytes(), v.tobytes(), v.shape[1], [x.astype(np.int32).tobytes() for x in g.layers], int(g.top[0])]
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, built, strict=True)], schema=built)
+        row = [t["team"][0].as_py(), t["shard"][0].as_py(), t["slices"][0].as_py(), t["id"].to_numpy().tobytes(), t["m"].to_numpy().tobytes(), v.tobytes(), v.shape[1], [x.astype(np.int32).tobytes() for x in g.layers], int(g.top[0])]
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, BUILT, strict=True)], schema=BUILT)
 
     graphs = written(dealt.groupBy("team", "shard").applyInArrow(build, kind), "graphs")
-    # a query goes to every shard of its team; a graph to every block
-    queries = dealt.select("team", "block", "id", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
-    def search(q: pa.Table, graph: pa.Table) -> pa.Table:
-        a, b, n = [], [], []
-        if len(q) and len(graph):
-            q = q.sort_by("id")
-            r = {c: graph[c][0].as_py() for c in graph.column_names}
-            ids, weights = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weights"], np.int64)
-            x = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["shape"])
-            g = Graph.__new__(Graph)
-            g.x, g.top = x.astype(np.float32), np.array([r["top"]])
-            g.layers = [np.frombuffer(y, np.int32).astype(np.int64).reshape(len(x), -1) for y in r["layers"]]
-            own, qids = unit(vectors(q)), q["id"].to_numpy()
-            single, floor = own.astype(np.float32), np.float32(least - 1e-4)
-            wide = ef
-            sample = np.unique(np.linspace(0, len(own) - 1, audited).astype(int))
-            truth = single[sample] @ g.x.T >= least
-            while wide < len(x):
-                got = g.near(single[sample], floor, wide)
-                if (truth & got).sum() >= recall * truth.sum():
-                    break
-                wide *= 2
-            # union of what is linked: nodes are the shard's, then the queries' own ids
-            nodes, back = np.unique(np.concatenate([ids, qids]), return_inverse=True)
-            root = np.arange(len(nodes))
-            for lo in range(0, len(own), 128):
-                part = slice(lo, lo + 128)
-                hits = g.near(single[part], floor, wide) if wide < len(x) else single[part] @ g.x.T >= floor
-                k, j = np.nonzero(hits)
-                exact = np.einsum("ij,ij->i", own[part][k], x[j]) >= least
-                other = exact & (ids[j] != qids[part][k])
-                k, j = k[other], j[other]
-                n_links = np.bincount(k, weights[j], len(own[part])).astype(np.int64)
-                a += qids[part].tolist()
-                b += [None] * len(n_links)
-                n += n_links.tolist()
-                u, w = back[len(ids) + lo + k], back[j]
-                while len(u):
-                    low = np.minimum(root[u], root[w])
-                    before = root.copy()
-                    for side in (u, w):
-                        np.minimum.at(root, root[side], low)
-                        np.minimum.at(root, side, low)
-                    root = root[root]
-                    if (root == before).all():
-                        break
-            moved = np.nonzero(root != np.arange(len(nodes)))[0]
-            a += nodes[moved].tolist()
-            b += nodes[root[moved]].tolist()
-            n += [None] * len(moved)
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], schema=found)
-
-    by = ("team", "shard", "block")
-    out = written(queries.groupBy(*by).cogroup(served.groupBy(*by)).applyInArrow(search, "a long, b long, n long"), "links")
-    counts = out.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    roots = components(out.where("b is not null").select("a", "b"))
+    by, parts = ("team", "shard", "slice"), ("ids", "weights", "vectors", "shape", "layers", "top")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    served = graphs.select("team", "shard", each("slices").alias("slice"), *parts)
+    queries = dealt.select("team", each("shards").alias("shard"), "slice", "id", "v")
+
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = at = None
+        for b in it:
+            is_graph, place = b["id"].is_null().to_numpy(zero_copy_only=False), b["place"].to_numpy()
+            if not len(place):
+                continue
+            new = is_graph | np.concatenate([[True], is_graph[:-1] | (place[1:] != place[:-1])])
+            cuts = np.append(np.nonzero(new)[0], len(new))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if is_graph[lo]:  # it comes before its queries
+                    if shard:
+                        yield batch(FOUND, shard.end())
+                    shard, at = Shard({c: b[c][lo].as_py() for c in parts}, least, recall, ef, audited), place[lo]
+                elif place[lo] == at:  # or its shard is empty
+                    q = b.slice(lo, hi - lo)
+                    yield batch(FOUND, shard.links(q["id"].to_numpy(), unit(vectors(q["v"]))))
+        if shard:
+            yield batch(FOUND, shard.end())
+
+    rows = served.unionByName(queries, allowMissingColumns=True).withColumn("place", F.xxhash64(*by)).repartition(*by).sortWithinPartitions(*by, F.col("id").asc_nulls_first())
+    return members, dealt, written(rows.mapInArrow(search, "a long, b long, n long"), "links")
+
+
+def near_duplicates(df: DataFrame, **settings: float) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of ``df`` (vec_id, embedding, label)."""
+    members, dealt, out = searched(df, **settings)
+    counts = out.where("a is not null and n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    roots = components(out.where("a is not null").select("a", "b"))
     classes = dealt.select("team", "key", "id", "m").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("team", "key", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     got = members.join(classes, ["team", "key"], "left")
