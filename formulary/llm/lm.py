@@ -54,16 +54,15 @@ class Units:
     def size(self) -> int:
         return self.n_words + self.n_forms
 
-    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes: the place in ``names``, or -1 - k for the k-th of the other words; those, their endings
-        and how often they occur."""
+    def of(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes: the place in ``names``, or -1 - k for the k-th of the other words; those and their endings."""
         h = hashes(tokens)
         pos = np.minimum(np.searchsorted(self.names, h), max(len(self.names) - 1, 0))
         kept = self.names[pos] == h if len(self.names) else np.zeros(len(h), bool)
         at = np.nonzero(~kept)[0]
-        rare, first, back, times = np.unique(h[at], return_index=True, return_inverse=True, return_counts=True)
+        rare, first, back = np.unique(h[at], return_index=True, return_inverse=True)
         pos[at] = -1 - back
-        return pos.astype(np.int32), rare.view(np.int64), endings([tokens[k] for k in at[first]], self.n_forms).astype(np.int32), times
+        return pos.astype(np.int32), rare.view(np.int64), endings([tokens[k] for k in at[first]], self.n_forms).astype(np.int32)
 
 
 def endings(tokens: list[bytes], n_forms: int) -> np.ndarray:
@@ -120,12 +119,11 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray,
     return word[order].view(np.uint64), form[order].astype(np.int64), n[order]
 
 
-CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("codes", pa.binary()), ("rare", pa.binary()), ("forms", pa.binary()), ("times", pa.binary())])
+CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("codes", pa.binary()), ("rare", pa.binary()), ("forms", pa.binary())])
 
 
 def coded(docs: DataFrame, units: Units) -> DataFrame:
-    """Each text (doc_id, text, train) as codes (after an end token), with its words that aren't kept, their endings
-    and how often they occur."""
+    """Each text (doc_id, text, train) as codes (after an end token), with its words that aren't kept and their endings."""
 
     def run(it: Batches) -> Batches:
         from pyspark import TaskContext
@@ -134,13 +132,13 @@ def coded(docs: DataFrame, units: Units) -> DataFrame:
         for b in it:
             out = []
             for doc, train, t in zip(b["doc_id"].to_pylist(), b["train"].to_pylist(), text_bytes(b["text"]), strict=True):
-                c, rare, forms, times = units.of(tokens(t))
-                out.append((row, doc, train, np.concatenate([c[-1:], c]).tobytes(), rare.tobytes(), forms.tobytes(), times.astype(np.int32).tobytes()))
+                c, rare, forms = units.of(tokens(t))
+                out.append((row, doc, train, np.concatenate([c[-1:], c]).tobytes(), rare.tobytes(), forms.tobytes()))
                 row += 1
             if out:
                 yield batch(CODED, list(zip(*out, strict=True)))
 
-    return written(docs.mapInArrow(run, "row long, doc_id long, train boolean, codes binary, rare binary, forms binary, times binary"), "coded")
+    return written(docs.mapInArrow(run, "row long, doc_id long, train boolean, codes binary, rare binary, forms binary"), "coded")
 
 
 def resolved(texts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -182,7 +180,7 @@ def resolved(texts: DataFrame, counts: DataFrame) -> DataFrame:
     found = rare.join(counts.select("word", "n", "cls"), "word", "left").select("row", "k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(-1)).alias("cls"))
     by_row = found.repartition("row").sortWithinPartitions("row", "k").mapInArrow(gather, "row long, ns binary, classes binary")
     out = texts.drop("rare").join(by_row, "row", "left")
-    return written(out.select("doc_id", "train", "codes", "forms", "times", F.coalesce("ns", F.lit(b"")).alias("ns"), F.coalesce("classes", F.lit(b"")).alias("classes")), "resolved")
+    return written(out.select("doc_id", "train", "codes", "forms", F.coalesce("ns", F.lit(b"")).alias("ns"), F.coalesce("classes", F.lit(b"")).alias("classes")), "resolved")
 
 
 def decoded(b: pa.RecordBatch, *columns: tuple[str, type]) -> tuple:
