@@ -5,9 +5,11 @@ The order of rules is part of the result: rules see what earlier ones wrote, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Symbols and their commands, in order.
 SYMBOLS = (
     ("√", r"\sqrt"), ("∞", r"\infty"), ("∑", r"\sum"), ("Σ", r"\sum"), ("∫", r"\int"), ("∏", r"\prod"), ("π", r"\pi"), ("α", r"\alpha"), ("β", r"\beta"),
@@ -41,23 +43,39 @@ STRUCTURES = (
 
 
 def replace_symbols(c: Column) -> Column:
-    for sign, command in SYMBOLS:
-        c = F.replace(c, F.lit(sign), F.lit(command))
-    return c
+    """One fold over the table, for texts that hold a sign of it."""
+    table = F.array(*[F.struct(F.lit(sign).alias("sign"), F.lit(command).alias("command")) for sign, command in SYMBOLS])
+    some = c.rlike("[" + "".join(sign for sign, _ in SYMBOLS) + "]")
+    return F.when(some, F.aggregate(table, c, lambda text, rule: F.replace(text, rule["sign"], rule["command"]))).otherwise(c)
 
 
 def replace_functions(c: Column) -> Column:
+    """Rule by rule, for texts that hold a word of the table."""
+    out = c
     for word, command in FUNCTIONS:
-        c = F.regexp_replace(c, rf"(?iU)\b{word}\b", command.replace("\\", "\\\\"))
-    return c
+        out = F.regexp_replace(out, rf"(?iU)\b{word}\b", command.replace("\\", "\\\\"))
+    return F.when(c.rlike(r"(?iU)\b(?:" + "|".join(word for word, _ in FUNCTIONS) + r")\b"), out).otherwise(c)
 
 
 def convert_structures(c: Column) -> Column:
-    for pattern, template in STRUCTURES:
-        c = F.regexp_replace(c, f"(?U){pattern}", template.replace("\\", "\\\\"))
-    return c
+    """Rule by rule, for texts that hold a sign or a word which all rules but the last need one of, and runs of spaces."""
+    out = c
+    for pattern, template in STRUCTURES[:-1]:
+        out = F.regexp_replace(out, f"(?U){pattern}", template.replace("\\", "\\\\"))
+    out = F.when(c.rlike(r"[\^_/(]|sqrt"), out).otherwise(c)
+    pattern, template = STRUCTURES[-1]
+    return F.regexp_replace(out, pattern, template)
 
 
 def to_latex(c: Column) -> Column:
-    out = convert_structures(replace_functions(replace_symbols(c)))
+    """All steps, each on the value of the one before, which is computed once."""
+    out = let(let(let(c, replace_symbols), replace_functions), convert_structures)
     return F.regexp_replace(out, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def with_latex(df: DataFrame, text: str, name: str = "latex") -> DataFrame:
+    """``df`` with ``to_latex`` of a column, each step a projection of its own."""
+    df = df.withColumn(name, replace_symbols(F.col(text)))
+    for step in (replace_functions, convert_structures):
+        df = df.withColumn(name, step(F.col(name)))
+    return df.withColumn(name, F.regexp_replace(name, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))

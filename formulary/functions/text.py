@@ -5,6 +5,8 @@ a built-in expression, so it stays in the JVM and streams as well as it batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,13 +46,22 @@ def page_type(n_chars: Column) -> Column:
     return F.when(n_chars > 400, "text").when(n_chars > 50, "mixed").otherwise("scanned")
 
 
-def rhs_is_number(c: Column) -> Column:
-    """No letter anywhere, and a power ``10^{k}`` or a decimal; what holds letters (also ``\\times`` and
-    exponents) is never a number."""
-    s = normalize_latex(c)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: as a lambda's variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_number(s: Column) -> Column:
+    """Of a normalised text: no letter anywhere, and a power ``10^{k}`` or a decimal; what holds letters (also
+    ``\\times`` and exponents) is never a number."""
+    s = F.replace(s, F.lit("\\,"), F.lit(""))  # what the removal of others brought together
     return ~s.rlike("[A-Za-z\u0410-\u042f\u0430-\u044f]") & matches(s, r"\s*(?:10\^\{\s*[+\-]?\d+\s*\}|[+\-]?(?:\d+(?:\.\d+)?|\.\d+))\s*")
 
 
+def rhs_is_number(c: Column) -> Column:
+    return is_number(normalize_latex(c))
+
+
 def after_first_equals(s: Column) -> Column:
     return F.substring(s, F.instr(s, "=") + 1, F.length(s))
 
@@ -60,25 +71,35 @@ DEFINITIONS = (":=", "\\equiv", "\u2261")
 INEQUALITIES = ("\\le", "\\ge", "\u2264", "\u2265", "<", ">")
 
 
-def relation_class(c: Column) -> Column:
-    """DEF_EQ, INEQ, EQ_NUM, EQ_EXPR or OTHER, tested in this order on the normalised formula."""
-    s = normalize_latex(c)
-    number = rhs_is_number(after_first_equals(s))
+def relation_of(s: Column) -> Column:
+    """DEF_EQ, INEQ, EQ_NUM, EQ_EXPR or OTHER, tested in this order, of a normalised formula."""
+    number = is_number(after_first_equals(s))
     return F.when(contains_any(s, DEFINITIONS), "DEF_EQ").when(contains_any(s, INEQUALITIES), "INEQ").when(s.contains("="), F.when(number, "EQ_NUM").otherwise("EQ_EXPR")).otherwise("OTHER")
 
 
-def rhs_text(c: Column) -> Column:
-    """Behind the first ``=``, stripped; null without one."""
-    s = normalize_latex(c)
+def relation_class(c: Column) -> Column:
+    """``relation_of`` any formula; it is normalised once."""
+    return let(normalize_latex(c), relation_of)
+
+
+def right_of(s: Column) -> Column:
+    """Behind the first ``=`` of a normalised formula, stripped; null without one."""
     return F.when(s.contains("="), F.trim(after_first_equals(s)))
 
 
-def rhs_value(c: Column) -> Column:
-    """The right side's number; null if it is none, or a power too large for a double."""
-    s = normalize_latex(c)
+def rhs_text(c: Column) -> Column:
+    return let(normalize_latex(c), right_of)
+
+
+def value_of(s: Column) -> Column:
+    """The number that a normalised right side is; null if it is none, or a power too large for a double."""
     power = F.regexp_extract(s, r"(?U)\A10\^\{\s*([+\-]?\d+)\s*\}\z", 1)
     value = F.when(power != "", F.concat(F.lit("1e"), power).try_cast("double")).otherwise(s.try_cast("double"))
-    return F.when(rhs_is_number(c) & (F.abs(value) != float("inf")), value)
+    return F.when(is_number(s) & (F.abs(value) != float("inf")), value)
+
+
+def rhs_value(c: Column) -> Column:
+    return let(normalize_latex(c), value_of)
 
 
 # What marks a recognised crop as mathematics.

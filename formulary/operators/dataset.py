@@ -38,6 +38,11 @@ def classify(df: DataFrame, latex: str = "latex") -> DataFrame:
     return df.withColumn("class", operator_class(F.col(latex))).where("class is not null")
 
 
+def rejected(df: DataFrame, latex: str = "latex") -> DataFrame:
+    """The rows that ``classify`` lets go, with a reason."""
+    return df.where(operator_class(F.col(latex)).isNull()).withColumn("reason", F.when(F.col(latex).isNull(), "missing").otherwise("too short"))
+
+
 def drawn(seed: int, cls: Column, i: Column, what: str, lo: int, hi: int) -> Column:
     """An integer from lo to hi, by hash: the same on any partitioning."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), cls, F.lit("|"), i.cast("string"), F.lit(f"|{what}")).cast("binary")), 1, 8), 16, 10).cast("long")
@@ -70,7 +75,7 @@ def balance(items: DataFrame, per_class: int = 100, seed: int = 42) -> DataFrame
     known = items.join(F.broadcast(vocab.select("class")), "class", "left_semi")
     w = Window.partitionBy("class").orderBy(of(F.col("key")), "key")
     real = known.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= per_class).select("text", "latex", "source", "class", "key")
-    counts = known.groupBy("class").agg(F.count("*").alias("n"))
+    counts = real.groupBy("class").agg(F.count("*").alias("n"))  # of what was taken, whose exchange serves both
     wanted = vocab.join(counts, "class", "left").select("class", (F.lit(per_class) - F.coalesce("n", F.lit(0))).alias("shortage"))
     return real.unionByName(synthetic(wanted, seed)).withColumn("position", of(F.concat(F.lit("shuffle|"), "key")))
 

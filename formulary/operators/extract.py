@@ -43,10 +43,9 @@ def _found(text: Column, pattern: str, name: str, flags: str) -> Column:
 
 def text_layer_latex(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with pattern, latex_raw and ord for each delimited stretch, pattern by pattern."""
-    raw = F.coalesce(F.col(text), F.lit(""))
-    spaced = normalize_spaces(F.col(text))
-    hits = F.concat(*(_found(raw if name == "env" else spaced, p, name, "(?sU)") for name, p in DELIMITED))
     kept = [c for c in df.columns if c not in ("ord", "pattern", "latex_raw")]
+    df = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__raw"), normalize_spaces(F.col(text)).alias("__spaced"))
+    hits = F.concat(*(_found(F.col("__raw" if name == "env" else "__spaced"), p, name, "(?sU)") for name, p in DELIMITED))
     return df.select(*kept, F.posexplode(hits).alias("ord", "h")).select(*kept, "ord", F.col("h.pattern").alias("pattern"), F.col("h.hit").alias("latex_raw"))
 
 

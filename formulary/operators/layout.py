@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_trigger, strip
+from ..functions.text import has_trigger, let, strip
 
 
 def lines_of_words(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page", "block_num", "par_num", "line_num")) -> DataFrame:
@@ -37,7 +35,7 @@ def refined_box(words: Column, margin: int = 8, neighbors: int = 3) -> Column:
 
     def chosen(ws: Column) -> Column:
         at = F.filter(F.transform(ws, lambda w, k: F.when(w["hit"], k)), lambda k: k.isNotNull())
-        return _let(at, lambda at: F.struct((F.size(at) > 0).alias("some"), F.when(F.size(at) > 0, F.slice(ws, F.greatest(F.array_min(at) - neighbors, F.lit(0)) + 1, F.array_max(at) - F.greatest(F.array_min(at) - neighbors, F.lit(0)) + neighbors + 1)).otherwise(ws).alias("ws")))
+        return let(at, lambda at: F.struct((F.size(at) > 0).alias("some"), F.when(F.size(at) > 0, F.slice(ws, F.greatest(F.array_min(at) - neighbors, F.lit(0)) + 1, F.array_max(at) - F.greatest(F.array_min(at) - neighbors, F.lit(0)) + neighbors + 1)).otherwise(ws).alias("ws")))
 
     def box(c: Column) -> Column:
         start = F.struct(F.lit(None).cast("int").alias("x0"), F.lit(None).cast("int").alias("y0"), F.lit(None).cast("int").alias("x1"), F.lit(None).cast("int").alias("y1"))
@@ -45,14 +43,9 @@ def refined_box(words: Column, margin: int = 8, neighbors: int = 3) -> Column:
         b, zero = F.aggregate(c["ws"], start, grow), F.lit(0)
         m = F.when(c["some"], margin).otherwise(0)
         low = lambda v: F.when(c["some"], F.greatest(v - margin, zero)).otherwise(v)
-        return _let(b, lambda b: F.struct(F.coalesce(low(b["x0"]), zero).alias("x0"), F.coalesce(low(b["y0"]), zero).alias("y0"), F.coalesce(b["x1"] + m, zero).alias("x1"), F.coalesce(b["y1"] + m, zero).alias("y1")))
-
-    return _let(_let(sorted_words, chosen), box)
-
+        return let(b, lambda b: F.struct(F.coalesce(low(b["x0"]), zero).alias("x0"), F.coalesce(low(b["y0"]), zero).alias("y0"), F.coalesce(b["x1"] + m, zero).alias("x1"), F.coalesce(b["y1"] + m, zero).alias("y1")))
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once: as a lambda's variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return let(let(sorted_words, chosen), box)
 
 
 def merge_boxes(boxes: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), max_gap: float = 40) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import clean_line, strip
 
 
 def split_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -18,9 +18,30 @@ def split_lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def reading_order(blocks: DataFrame, page_keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """Blocks (y0, x0, text, kind) of text kind 0, with their rank by rows of ten units, then x0."""
-    w = Window.partitionBy(*page_keys).orderBy(F.bround(F.col("y0") / 10), "x0", "text")
-    return blocks.where("kind = 0").withColumn("block_no", F.row_number().over(w) - 1)
+    """Blocks (y0, x0, text, and kind and no where they are there) of text kind 0, with their rank by rows of ten
+    units, then x0; of equal ones as the page has them (no)."""
+    w = Window.partitionBy(*page_keys).orderBy(F.bround(F.col("y0") / 10), "x0", *(c for c in ("no", "text") if c in blocks.columns))
+    texts = blocks.where("kind = 0") if "kind" in blocks.columns else blocks
+    return texts.withColumn("block_no", F.row_number().over(w) - 1)
+
+
+def digital_lines(pages: DataFrame, blocks: DataFrame, recognised: DataFrame, fallback: DataFrame | None = None, least_text: int = 50) -> DataFrame:
+    """doc_id, line_no (in order), line: cleaned lines of pages (doc_id, page, text). A page whose text has ``least_text``
+    characters gives its blocks (doc_id, page, no, y0, x0, text) in reading order, others what was recognised on
+    them (doc_id, page, text). Documents that come out empty take ``fallback``'s lines of their pages (doc_id, page, text)."""
+    own = pages.select("doc_id", "page", (F.length(strip(F.coalesce("text", F.lit("")))) >= least_text).alias("own"))
+    by_block = reading_order(blocks.join(own.where("own"), ["doc_id", "page"], "left_semi")).select("doc_id", "page", F.col("block_no").cast("long").alias("block_no"), "text")
+    by_page = recognised.join(own.where("not own"), ["doc_id", "page"], "left_semi").select("doc_id", "page", F.lit(0).cast("long").alias("block_no"), "text")
+
+    def cleaned(parts: DataFrame) -> DataFrame:
+        out = parts.select("doc_id", F.col("page").cast("long").alias("page"), "block_no", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+        place = F.struct("page", "block_no", F.col("k").cast("long").alias("k")).alias("line_no")
+        return out.select("doc_id", place, clean_line(F.col("line")).alias("line")).where("line <> ''")
+
+    found = cleaned(by_block.unionByName(by_page))
+    if fallback is not None:
+        found = found.unionByName(cleaned(fallback.select("doc_id", "page", F.lit(0).cast("long").alias("block_no"), "text")).join(found.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return found
 
 
 def merge_broken_lines(lines: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("line_no",), line: str = "line") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bbox_payload, formula_id, normalize_latex, relation_class, rhs_text, rhs_value
+from ..functions.text import bbox_payload, formula_id, normalize_latex, relation_of, right_of, value_of
 
 FIELDS = (
     "formula_id", "doc_id", "pdf_file", "page", "source", "bbox_px", "crop_path", "line_text_ocr", "latex_raw", "latex_norm", "mathml", "sympy", "cls",
@@ -14,9 +14,9 @@ FIELDS = (
 
 
 def _with_relation(df: DataFrame) -> DataFrame:
-    df = df.withColumn("latex_norm", normalize_latex(F.col("latex_raw"))).withColumn("cls", relation_class(F.col("latex_norm")))
-    df = df.withColumn("rhs_number_raw", F.when(F.col("cls") == "EQ_NUM", rhs_text(F.col("latex_norm"))))
-    return df.withColumn("rhs_number_float", rhs_value(F.col("rhs_number_raw")))
+    df = df.withColumn("latex_norm", normalize_latex(F.col("latex_raw")))
+    df = df.withColumn("cls", relation_of(F.col("latex_norm"))).withColumn("rhs_number_raw", F.when(F.col("cls") == "EQ_NUM", right_of(F.col("latex_norm"))))
+    return df.withColumn("rhs_number_float", value_of(F.col("rhs_number_raw")))
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -51,8 +51,9 @@ def class_counts(records: DataFrame) -> DataFrame:
 
 
 def document_results(documents: DataFrame, pages: DataFrame, records: DataFrame) -> DataFrame:
-    """One nested row a document: document, pages, formulas."""
+    """One nested row a document: document, pages, formulas (in order of page and id)."""
     p = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "page_type", "text_char_count"))).alias("pages"))
-    r = records.groupBy("doc_id").agg(F.collect_list(F.struct(*FIELDS)).alias("formulas"))
+    r = records.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").alias("at"), F.col("formula_id").alias("id"), F.struct(*FIELDS).alias("x")))).alias("fs"))
+    r = r.select("doc_id", F.transform("fs", lambda f: f["x"]).alias("formulas"))
     doc = F.struct(*documents.columns).alias("document")
     return documents.select("doc_id", doc).join(p, "doc_id", "left").join(r, "doc_id", "left").drop("doc_id")

@@ -68,7 +68,19 @@ BOXES_SQL = """boxes as (select l_orderkey as doc_id, (90 * (l_linenumber % 4)):
 
 
 def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "l_linenumber as page", "l_partkey % 60 as text_len", "l_suppkey % 3 as n_images")
+    """A page a line item; every fiftieth document has one that failed."""
+    error = "case when l_orderkey % 50 = 0 and l_linenumber = 1 then 'broken' end as error"
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "l_linenumber as page", "l_partkey % 60 as text_len", "l_suppkey % 3 as n_images", error)
+
+
+BLOCK_TEXT = f"case when l_suppkey % 5 = 0 then 'π  ' else '' end || case when l_partkey % 4 = 0 then replace({TXT}, ' = ', ' =' || chr(10)) else {TXT} end"
+BLOCKS = ("l_orderkey as doc_id", "l_linenumber % 2 + 1 as page", "cast(l_linenumber as bigint) * 1000000000 + l_partkey * 10000 + l_suppkey as no", "cast(l_partkey % 97 as double) as y0", "cast(l_suppkey % 7 as double) as x0", f"{BLOCK_TEXT} as text")
+READ_TEXT = "case when doc_id % 3 = 0 then '' else 'noise' || chr(10) || '7 - ' || doc_id % 9 || ' = ' || page end"
+
+
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text blocks of two pages a document, some of two lines, some with a sign that cleaning takes out."""
+    return table(spark, sf_dir, "lineitem").selectExpr(*BLOCKS)
 
 
 def registry_files(spark: SparkSession, sf_dir: str) -> DataFrame:

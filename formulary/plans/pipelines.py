@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import long_enough, math_text, normalize_spaces, page_type, strip
+from ..functions.text import clean_line, file_name, is_math_latex, long_enough, math_text, normalize_latex, normalize_spaces, page_type, strip
 from ..operators import corpus, dataset, extract, layout, lines, records
 from ..sources import pdf
 
@@ -17,6 +17,7 @@ from ..sources import pdf
 def typed_pages(pages: DataFrame) -> DataFrame:
     """``pages`` with text_char_count and page_type; a page without text counts 0 characters."""
     n = F.length(normalize_spaces(F.col("text")))
+    pages = pages.where("page is not null")  # rows of errors have none
     return pages.withColumn("text_char_count", n).withColumn("page_type", page_type(F.col("text_char_count")))
 
 
@@ -39,15 +40,20 @@ def cropped(image: bytes, x0: float, y0: float, x1: float, y1: float) -> bytes:
 
 
 def with_crops(boxes: DataFrame, images: DataFrame, crop: Callable[..., bytes] = cropped) -> DataFrame:
-    """``boxes`` (doc_id, page, x0, y0, x1, y1 in pixels) with image, their part of the page's."""
+    """``boxes`` (doc_id, page, x0, y0, x1, y1 in pixels) with image, their part of the page's. A page's boxes
+    meet its image in one row, so an image moves once at most, and is cut there for all of them."""
+    names = [c for c in boxes.columns if c != "image"]
+    per_page = boxes.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*names)).alias("boxes"))
+    corners = F.transform("boxes", lambda b: F.array(*[b[c].cast("double") for c in ("x0", "y0", "x1", "y1")]))
 
-    @F.pandas_udf("binary")
-    def cut(image: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-        return pd.Series([crop(bytes(i), *b) for i, *b in zip(image, x0, y0, x1, y1, strict=True)])
+    @F.pandas_udf("array<binary>")
+    def cut(image: pd.Series, boxes: pd.Series) -> pd.Series:
+        return pd.Series([[crop(bytes(i), *b) for b in bs] for i, bs in zip(image, boxes, strict=True)], dtype=object)
 
-    joined = boxes.join(images.select("doc_id", "page", F.col("image").alias("__page")).where("__page is not null"), ["doc_id", "page"])
-    corners = [F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]
-    return joined.withColumn("image", cut("__page", *corners)).drop("__page")
+    page = images.select("doc_id", "page", F.col("image").alias("__page")).where("__page is not null")
+    cuts = per_page.join(page, ["doc_id", "page"]).select("boxes", cut("__page", corners).alias("cuts"))
+    one = cuts.select(F.explode(F.arrays_zip("boxes", "cuts")).alias("x"))
+    return one.select(*(F.col(f"x.boxes.{c}").alias(c) for c in names), F.col("x.cuts").alias("image"))
 
 
 def recognised_records(pages: DataFrame, words: DataFrame, min_mean_conf: float = 30, text_poor_only: bool = False, load: Callable = pdf.pix2tex, crop: Callable = cropped) -> DataFrame:
@@ -60,8 +66,6 @@ def recognised_records(pages: DataFrame, words: DataFrame, min_mean_conf: float
     found = layout.math_lines(layout.lines_of_words(words), min_mean_conf)
     found = found.withColumn("b", layout.refined_box(F.col("words"))).select("doc_id", "page", F.col("line_text").alias("line_text_ocr"), "mean_conf", "b.*").where("x1 > x0 and y1 > y0")
     crops = with_crops(found.join(gated.select("doc_id", "page", "pdf_file"), ["doc_id", "page"]), pages, crop)
-    from ..functions.text import is_math_latex, normalize_latex
-
     read = pdf.recognised(crops, load).drop("image")
     return records.ocr_records(read.where(is_math_latex(normalize_latex(F.col("latex_raw")))))
 
@@ -89,16 +93,62 @@ def build_dataset(candidates: DataFrame, per_class: int = 100, seed: int = 42) -
     return dataset.validate(dataset.balance(dataset.classify(candidates), per_class, seed))
 
 
-def update_corpus(files: DataFrame, registry: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(judged files with status, registry rows of the accepted ones)."""
+def recognised_pages(pages: DataFrame, read: Callable = pdf.tesseract_words, prepare: Callable | None = None, load: Callable = pdf.pix2tex, crop: Callable = cropped, **settings: float) -> DataFrame:
+    """Records of page images from the beginning: scanned and mixed pages' images are enhanced, words are read on all,
+    and ``recognised_records`` goes on from them."""
+    ready = pdf.enhanced(typed_pages(pages), prepare)
+    return recognised_records(ready.select(*pages.columns), pdf.words(ready, read), load=load, crop=crop, **settings)
+
+
+def update_corpus(files: DataFrame, registry: DataFrame, force: bool = False, added_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(judged files with status, registry rows of the accepted ones). Files may have a url; ``added_at`` is a parameter, so
+    that a run can be repeated."""
     judged = corpus.admit(files, registry, force)
-    rows = judged.where("status = 'accepted'").select("name", F.col("md5").alias("hash"), F.bround(F.col("size") / (1 << 20), 2).alias("size_mb"))
-    return judged, rows
+    url = F.coalesce("url", F.lit("")) if "url" in files.columns else F.lit("")
+    size = F.bround(F.col("size") / (1 << 20), 2)
+    return judged, judged.where("status = 'accepted'").select("name", F.col("md5").alias("hash"), F.lit(added_at).alias("added_at"), size.alias("size_mb"), url.alias("url"))
+
+
+def fetched(urls: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:
+    """Files (path, name, md5, size, content, url) of URLs, by a function that fetches one; what fails or isn't
+    a PDF goes. The path is the URL, which ``update_corpus`` takes for its order."""
+
+    @F.pandas_udf("binary")
+    def get(s: pd.Series) -> pd.Series:
+        def one(url: str | None) -> bytes | None:
+            try:
+                return fetch(url) if url else None
+            except Exception:  # noqa: BLE001
+                return None
+
+        return s.map(one)
+
+    got = urls.select("url", file_name(F.col("url")).alias("name"), get.asNondeterministic()("url").alias("content")).where(corpus.is_pdf(F.col("content")))
+    return got.select(F.col("url").alias("path"), "name", F.md5("content").alias("md5"), F.octet_length("content").cast("long").alias("size"), "content", "url")
+
+
+def _deduplicated(lines_in: DataFrame, passes: int) -> DataFrame:
+    found = extract.candidates(lines.merge_broken_lines(lines_in), passes=passes)
+    return lines.first_occurrences(found.select("doc_id", "text", "line_no", "ord"), ("doc_id", "text"), ("line_no", "ord"))
 
 
 def text_candidates(pages: DataFrame, ocr: bool = False) -> DataFrame:
-    """doc_id, text: the distinct candidates of each document, out of its lines joined across pages."""
-    split = lines.split_lines(pages.select("doc_id", "page", "text"))
+    """doc_id, text: the distinct candidates of each document, out of its lines joined across pages. Lines of the
+    digital route are cleaned, and candidates normalised twice; those of recognised texts (``ocr``) are only stripped."""
+    split = lines.split_lines(pages.where("page is not null").select("doc_id", "page", "text"))
+    if not ocr:
+        split = split.withColumn("line", clean_line(F.col("line"))).where("line <> ''")
     numbered = split.select("doc_id", (F.col("page").cast("long") * (1 << 32) + F.col("line_no")).alias("line_no"), "line")
-    found = extract.candidates(lines.merge_broken_lines(numbered), passes=1 if ocr else 2)
-    return lines.first_occurrences(found.select("doc_id", "text", "line_no", "ord"), ("doc_id", "text"), ("line_no", "ord"))
+    return _deduplicated(numbered, 1 if ocr else 2)
+
+
+def digital_candidates(pages: DataFrame, blocks: DataFrame, recognised: DataFrame, fallback: DataFrame | None = None, least_text: int = 50) -> DataFrame:
+    """doc_id, text: the distinct candidates of documents by the digital route: pages routed by their text, blocks in reading
+    order, lines cleaned, the second reader for documents that come out empty, joining, two passes."""
+    return _deduplicated(lines.digital_lines(pages, blocks, recognised, fallback, least_text), 2)
+
+
+def scanned_candidates(pages: DataFrame, recognised: DataFrame, least_text: int = 50) -> DataFrame:
+    """doc_id, text: the distinct candidates of scanned and mixed documents: a page's own text or what was recognised
+    on it, lines stripped but not cleaned, joining, one pass."""
+    return text_candidates(pdf.routed_lines(pages.where("page is not null"), recognised, least_text), ocr=True)

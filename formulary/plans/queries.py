@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import corpus, dataset, extract, layout, lines, records
 from ..sources import pdf
 from . import fixtures as X
+from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,8 +59,8 @@ def relation_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"with {CLS_SQL} select {K}, {RIGHT_SQL} as rhs, case when {RIGHT_SQL} like '10^%' then ('1e' || regexp_extract(s, '\{{\s*([+-]?[0-9]+)', 1))::double else {RIGHT_SQL}::double end as value from cls where cls = 'EQ_NUM'")
 def numeric_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.formula_lines(spark, sf_dir).where(T.relation_class(F.col("txt")) == "EQ_NUM").withColumn("rhs", T.rhs_text(F.col("txt")))
-    return out.select(*KEYS, "rhs", T.rhs_value(F.col("rhs")).alias("value"))
+    out = X.formula_lines(spark, sf_dir).select(*KEYS, T.normalize_latex(F.col("txt")).alias("s")).where(T.relation_of(F.col("s")) == "EQ_NUM")
+    return out.select(*KEYS, T.right_of(F.col("s")).alias("rhs")).withColumn("value", T.value_of(F.col("rhs")))
 
 
 @query(f"""with {CLS_SQL} select {K}, s as latex_norm, cls, case when cls = 'EQ_NUM' then {RIGHT_SQL} end as rhs,
@@ -67,9 +68,9 @@ def numeric_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def formula_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T.normalize_latex(F.col("txt"))
     payload = T.bbox_payload(F.col("pk"), F.col("sk"), F.lit(9), F.lit(9), F.col("latex_norm"))
-    out = X.formula_lines(spark, sf_dir).withColumn("latex_norm", s).withColumn("cls", T.relation_class(F.col("latex_norm")))
+    out = X.formula_lines(spark, sf_dir).withColumn("latex_norm", s).withColumn("cls", T.relation_of(F.col("latex_norm")))
     ids = [T.formula_id(F.col("doc_id"), F.col("line_no"), F.lit(kind), p).alias(name) for kind, p, name in (("text_layer", F.col("latex_norm"), "text_id"), ("ocr", payload, "ocr_id"))]
-    return out.select(*KEYS, "latex_norm", "cls", F.when(F.col("cls") == "EQ_NUM", T.rhs_text(F.col("txt"))).alias("rhs"), *ids)
+    return out.select(*KEYS, "latex_norm", "cls", F.when(F.col("cls") == "EQ_NUM", T.right_of(F.col("latex_norm"))).alias("rhs"), *ids)
 
 
 @query(f"""with {CLS_SQL} select cls, count(*) as n, count(distinct substr(sha1(doc_id || '|' || line_no || '|text_layer|' || s), 1, 24)) as n_ids,
@@ -79,6 +80,23 @@ def text_layer_record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.text_layer_records(hits).groupBy("cls").agg(F.count("*").alias("n"), F.countDistinct("formula_id").alias("n_ids"), F.count("rhs_number_float").alias("n_numbers"))
 
 
+@query(f"""with {CLS_SQL} select substr(sha1(doc_id || '|' || line_no || '|ocr|[' || pk || ', ' || sk || ', 9, 9]|' || s), 1, 24) as formula_id, cls, case when cls = 'EQ_NUM' then {RIGHT_SQL} end as rhs,
+  '[' || pk || ',' || sk || ',9,9]' as bbox, (pk % 101)::double as ocr_confidence from cls""")
+def ocr_record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = X.formula_lines(spark, sf_dir).selectExpr("cast(doc_id as string) as doc_id", "concat(doc_id, '.pdf') as pdf_file", "line_no as page", "pk as x0", "sk as y0", "9 as x1", "9 as y1", "txt as latex_raw", "cast(pk % 101 as double) as mean_conf")
+    return records.ocr_records(hits).select("formula_id", "cls", F.col("rhs_number_raw").alias("rhs"), F.to_json("bbox_px").alias("bbox"), "ocr_confidence")
+
+
+@query(f"with {X.LINES_SQL} select length(trim(txt)) > 2 as long_enough, count(*) as n from formula_lines group by 1")
+def long_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.formula_lines(spark, sf_dir).groupBy(T.long_enough(F.col("txt")).alias("long_enough")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {X.LINES_SQL} select {K}, txt, 'too short' as reason from formula_lines where length(trim(txt)) < 3")
+def rejected_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.rejected(X.formula_lines(spark, sf_dir), "txt")
+
+
 # --- pages and gates ------------------------------------------------------------------------------
 
 PAGE_SQL = r"""pages_in as (select doc_id, length(trim(regexp_replace(replace(coalesce(text, ''), '−', '-'), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) as n from documents),
@@ -138,18 +156,18 @@ DELIMITED_SQL = (
     f"with {X.LINES_SQL}, t as (select {K}, 'see ' || {_B} || '( ' || txt || ' ' || {_B} || ')  and $$' || txt || '$$ or $' || pk || ' = x$ ' || {_B} || '[' || txt || {_B} || ']' || {_B} || 'begin{{align}}' || chr(10) || txt || {_B} || 'end{{align}}' as raw from formula_lines), "
     + r"d as (select *, trim(regexp_replace(raw, '\s+', ' ', 'g')) as s from t) select "
     + K
-    + ", pattern, latex_raw, count(*) as times from ("
+    + ", pattern, latex_raw from ("
     + " union all ".join(
         [_hits("s", "inline_paren", 0, r"\\\((.+?)\\\)"), _hits("s", "display_bracket", 1, r"\\\[(.+?)\\\]"), _hits("s", "display_dollars", 2, r"\$\$(.+?)\$\$"), _hits("s", "inline_dollar", 3, r"\$(.+?)\$")]
         + [_hits("raw", "env", 4, rf"\\begin\{{{e}\}}(.+?)\\end\{{{e}\}}") for e in ("equation", "align", "gather")]
     )
-    + ") group by all"
+    + ")"
 )
 
 
 @query(DELIMITED_SQL)
 def text_layer_latex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.text_layer_latex(_delimited(spark, sf_dir)).groupBy(*KEYS, "pattern", "latex_raw").agg(F.count("*").alias("times"))
+    return extract.text_layer_latex(_delimited(spark, sf_dir)).select(*KEYS, "pattern", "latex_raw")
 
 
 NUM = "[-+]?[0-9]+([.,][0-9]+)?"
@@ -215,12 +233,50 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_in.groupBy("doc_id").agg(F.sum(F.length(T.clean_line(F.col("line")))).alias("n_clean"), F.sum(points).alias("n_points"))
 
 
-MERGED_SQL = (
-    X.SPLIT_SQL
-    + r""", j as (select *, row_number() over w as pos, lag(line) over w as before from split_lines window w as (partition by doc_id order by line_no)),
+def _golden(rows: list[tuple], function: Callable, name: str, kind: str) -> None:
+    """A query over all line items, each of which takes one of ``rows`` in turn, of a rule that RE2 can't state: what is
+    expected is written out."""
+    literal = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {literal(x)}, {literal(y)})" for k, (x, y) in enumerate(rows))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = F.array(*[F.lit(x).cast("string") for x, _ in rows])
+        lines_in = X.table(spark, sf_dir, "lineitem").select(F.get(given, F.expr(f"cast((l_orderkey + l_linenumber + l_partkey) % {len(rows)} as int)")).alias("line"))
+        return lines_in.withColumn("result", function(F.col("line"))).groupBy("line", "result").agg(F.count("*").alias("n"))
+
+    run.__name__ = name
+    query(f"select line, result, count(*) as n from lineitem join (values {values}) v(k, line, result) on (l_orderkey + l_linenumber + l_partkey) % {len(rows)} = k group by all")(run)
+
+
+_golden(
+    [
+        ("2 + 3 = 5", True), ("2 + 3", False), ("1 + " * 25 + "1 = 26", False), ("x = 5", False), ("ab = 5", False), ("sin 30 = 0,5", True), ("lim f = ∞", True), ("C(5,2) = 10", True),
+        ("A_5 = 20", True), ("5 ! = 120", True), ("log_2 8 = 3", True), ("1/2 = 1/2", True), ("a + b = c", False), ("a + b = 5 = 6", True), ("\\frac = 2", True), ("x^2 = 4", True),
+        ("a + b = -3.5", True), ("a + b = 1e5", False), (None, False), ("π r = 3", True), ("tg 45 = 1", True), ("ab = \\infty", False), ("a+b = \\infty", True), ("a - b = 5.", False),
+        ("ПУСТЬ 2 + 3 = 5", False), ("ИМЕЕМ 2 + 3 + 4 + 5 + 6 + 7 + 8 + 9 = 44", False), ("АБВГД 2 + 3 + 4 + 5 + 6 + 7 + 8 + 9 = 44", True), ("БУДЕМ 2 + 3 + 4 + 5 + 6 + 7 + 8 + 9 = 44", False),
+        ("ЖЗИ 2 + 7 = 9", False), ("ЖЗ 12 + 77 = 89", True),
+    ],
+    T.is_formula_line, "formula_line_rules", "boolean",
+)
+_golden([("САРсаеоОхХу", "CAPcaeoOxXy"), ("1,2,3", "1.2,3"), ("0,5 и 12,25", "0.5 и 12.25"), ("С(5,2) = 10", "C(5.2) = 10"), ("a, b", "a, b"), ("БГДЁ", "БГДЁ"), ("", ""), (None, None)], T.latin_line, "latin_lines", "string")
+_golden([("a  b\tc", "a b c"), ("π = 3", "= 3"), ("a π b", "a   b"), ("5−3", "5−3"), ("  Σ  ", ""), ("é ±  ∑ Ж", "é ± ∑ Ж"), ("a 中 b", "a   b"), ("", ""), (None, "")], T.clean_line, "cleaned_lines", "string")
+_SIGNS = {"∑": r"\\sum", "Σ": r"\\sum", "∏": r"\\prod"}  # what the words' rules see again gets a second backslash
+_WORDS = {"arctg": r"\\arctan", "ctg": r"\\cot", "tg": r"\\tan"}
+_golden(
+    [("a √ b", r"a \\sqrt{b}")] + [(f"a {sign} b", f"a {_SIGNS.get(sign, command)} b") for sign, command in latex.SYMBOLS if sign != "√"]
+    + [(f"{word} y", f"{_WORDS.get(word, command)} y") for word, command in latex.FUNCTIONS if word != "sqrt"]
+    + [
+        ("SIN(x) + Ln y", r"\sin(x) + \ln y"), ("sinx + cosec", "sinx + cosec"), ("C_5^2", r"\binom{5}{2}"), ("C(7, 3)", r"\binom{7}{3}"), ("A_5^2", "A_{5}^{2}"), ("1/2 + 3 / 4", r"\frac{1}{2} + \frac{3}{4}"), ("1/2/3", "1/2/3"),
+        ("{1/2", "{1/2"), ("a1/2", "a1/2"), ("sqrt(x + 1)", r"\sqrt{x + 1}"), ("√(x)", r"\\sqrt{x}"), ("sqrt y", r"\sqrt{y}"), ("x^2", "x^{2}"), ("x^10", "x^{1}0"), ("x^{2}", "x^{2}"), ("x_i + y_1", "x_{i} + y_{1}"),
+        ("lim(x->0) f", r"\lim_{x \to 0} f"), ("lim(n->inf) f", r"\lim_{n \to \infty} f"), ("lim( x -> a + 1 )", r"\lim_{x \to a + 1}"), ("sum(i=1..n)", r"\sum_{i=1}^{n}"), ("  a    b ", "a b"), ("plain", "plain"), ("", ""), (None, None),
+    ],
+    latex.to_latex, "latex_rules", "string",
+)
+
+JOINED_SQL = r""", j as (select *, row_number() over w as pos, lag(line) over w as before from split_lines window w as (partition by doc_id order by line_no)),
  b as (select *, sum(case when before is null or not (regexp_matches(before, '[-+*/=^,(\\]$') or regexp_matches(line, '^[-+*/^),a-z]')) then 1 else 0 end) over (partition by doc_id order by pos) as island from j),
  merged as (select doc_id, min(line_no) as line_no, string_agg(line, ' ' order by pos) as line from b group by doc_id, island)"""
-)
+MERGED_SQL = X.SPLIT_SQL + JOINED_SQL
 
 
 @query(f"with {MERGED_SQL} select doc_id, line_no, line from merged")
@@ -237,6 +293,40 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.first_occurrences(found, ("doc_id", "text"), ("line_no", "ord")).select("doc_id", "text")
 
 
+STRIP_SQL = r"regexp_replace({0}, '^[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
+CLEAN_SQL = r"trim(regexp_replace(regexp_replace({0}, ' {{2,}}', ' ', 'g'), '[^\x20-\x7E\x{{0400}}-\x{{04FF}}\x{{00B0}}-\x{{00FF}}\x{{2200}}-\x{{22FF}}]', ' ', 'g'))"
+DIGITAL_SQL = f"""with blocks as (select {', '.join(X.BLOCKS)} from lineitem),
+ pg as (select doc_id, page, string_agg(text, chr(10) order by no) as text from blocks group by doc_id, page),
+ routed as (select *, length({STRIP_SQL.format('text')}) >= 50 as own from pg),
+ parts as (select doc_id, page, row_number() over (partition by doc_id, page order by round_even(y0 / 10, 0), x0, no) as block_no, blocks.text from blocks join routed using (doc_id, page) where own
+   union all select doc_id, page, 0, {X.READ_TEXT} from routed where not own),
+ l as (select doc_id, page, block_no, generate_subscripts(string_split(text, chr(10)), 1) as k, {CLEAN_SQL.format('unnest(string_split(text, chr(10)))')} as line from parts),
+ found as (select * from l where line <> ''),
+ whole as (select doc_id, page, block_no, k, line from found union all select doc_id, page, 0, 1, '1 + 1 = 2' from pg where doc_id not in (select doc_id from found)),
+ split_lines as (select doc_id, row_number() over (partition by doc_id order by page, block_no, k) as line_no, line from whole)""" + JOINED_SQL
+
+
+@query(f"""{DIGITAL_SQL}, f as (select doc_id, line_no, regexp_replace(line, '([0-9]),([0-9])', '\\1.\\2', 'g') as line from merged),
+ c as (select doc_id, line as text from f where {FORMULA_LINE_SQL} union all select doc_id, formula from {_family_hits('line', list(FAMILY_SQL))} where not {FORMULA_LINE_SQL}),
+ d as (select doc_id, trim(regexp_replace(text, '([0-9]),([0-9])', '\\1.\\2', 'g')) as text from c)
+ select distinct doc_id, text from d where length(text) between 5 and 80""")
+def digital_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digital route from blocks to candidates: routing, reading order, cleaning, the second reader, joining, two passes."""
+    blocks = X.text_blocks(spark, sf_dir)
+    pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("bs")).select("doc_id", "page", F.array_join(F.transform("bs", lambda b: b["text"]), "\n").alias("text"))
+    read = pages.selectExpr("doc_id", "page", f"{X.READ_TEXT} as text")
+    return pipelines.digital_candidates(pages, blocks, read, pages.select("doc_id", "page", F.lit("1 + 1 = 2").alias("text"))).select("doc_id", "text")
+
+
+@query(f"""{DIGITAL_SQL} select doc_id, page, block_no::bigint as block_no, k::bigint - 1 as k, line from whole""")
+def digital_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = X.text_blocks(spark, sf_dir)
+    pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("bs")).select("doc_id", "page", F.array_join(F.transform("bs", lambda b: b["text"]), "\n").alias("text"))
+    found = lines.digital_lines(pages, blocks, pages.selectExpr("doc_id", "page", f"{X.READ_TEXT} as text"), pages.select("doc_id", "page", F.lit("1 + 1 = 2").alias("text")))
+    own = F.length(T.strip(F.col("text"))) >= 50  # ranks count from 1 in the SQL where a page gives its blocks
+    return found.join(pages.select("doc_id", "page", own.alias("own")), [found["doc_id"] == pages["doc_id"], found["line_no.page"] == pages["page"]]).select(found["doc_id"], F.col("line_no.page").alias("page"), (F.col("line_no.block_no") + F.col("own").cast("int")).alias("block_no"), F.col("line_no.k").alias("k"), "line")
+
+
 # --- layout ------------------------------------------------------------------------------------------
 
 WORD_KEYS = ("doc_id", "page", "block_num", "par_num", "line_num")
@@ -300,24 +390,29 @@ def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- corpus ------------------------------------------------------------------------------------------
 
-TYPES_SQL = """flags as (select l_orderkey as doc_id, l_partkey % 60 > 30 as t, l_suppkey % 3 > 0 as i from lineitem),
+TYPES_SQL = """flags as (select l_orderkey as doc_id, l_partkey % 60 > 30 as t, l_suppkey % 3 > 0 as i, case when l_orderkey % 50 = 0 and l_linenumber = 1 then 'broken' end as error from lineitem),
  types as (select doc_id, count(*) as total_pages, count(*) filter (t and not i) as text_pages, count(*) filter (i and not t) as image_pages, count(*) filter (t and i) as mixed_pages,
-   count(*) filter (not t and not i) as empty_pages from flags group by doc_id),
- named as (select *, case when 10 * image_pages > 8 * total_pages then 'SCAN' when 10 * image_pages > 2 * total_pages then 'MIXED' else 'DIGITAL' end as type from types)"""
+   count(*) filter (not t and not i) as empty_pages, max(error) as error from flags group by doc_id),
+ named as (select *, case when error is not null then 'ERROR' when 10 * image_pages > 8 * total_pages then 'SCAN' when 10 * image_pages > 2 * total_pages then 'MIXED' else 'DIGITAL' end as type from types)"""
 
 
-@query(f"with {TYPES_SQL} select *, type <> 'DIGITAL' as needs_ocr from named")
+@query(f"""with {TYPES_SQL} select doc_id, type, error, type in ('SCAN', 'MIXED') as needs_ocr, case when error is null then total_pages end as total_pages, case when error is null then text_pages end as text_pages,
+  case when error is null then image_pages end as image_pages, case when error is null then mixed_pages end as mixed_pages, case when error is null then empty_pages end as empty_pages,
+  case when error is null then image_pages::double / total_pages end as scan_ratio from named""")
 def pdf_type_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.document_types(X.page_flags(spark, sf_dir)).drop("scan_ratio")
+    return corpus.document_types(X.page_flags(spark, sf_dir))
 
 
-@query(f"with {TYPES_SQL} select type, count(*) as n, sum(total_pages)::bigint as pages from named group by type")
+@query(f"with {TYPES_SQL} select type, count(*) as n, (sum(total_pages) filter (type <> 'ERROR'))::bigint as pages, count(*) filter (type in ('SCAN', 'MIXED')) as n_needs_ocr from named group by type")
 def pdf_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.document_types(X.page_flags(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"), F.sum("total_pages").alias("pages"))
+    return corpus.document_types(X.page_flags(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"), F.sum("total_pages").alias("pages"), F.count_if("needs_ocr").alias("n_needs_ocr"))
 
 
-@query(f"""with {X.FILES_SQL}, f as (select *, row_number() over (partition by md5, lower(name) like '%.pdf' order by path) as nth from files)
- select path, name, case when lower(name) not like '%.pdf' then 'bad_extension' when nth > 1 or md5 in (select hash from registry) then 'duplicate' when name in (select name from registry) then 'name_taken' else 'accepted' end as status from f""")
+@query(f"""with recursive {X.FILES_SQL}, f as (select *, row_number() over (order by path, name, md5) as k from files),
+ step as (select 0::bigint as k, ''::varchar as status, (select coalesce(list(hash), []) from registry) as hashes, (select coalesce(list(name), []) from registry) as names
+   union all select f.k, j.s, case when j.s = 'accepted' then list_append(hashes, f.md5) else hashes end, case when j.s = 'accepted' then list_append(names, f.name) else names end
+   from step join f on f.k = step.k + 1, lateral (select case when lower(f.name) not like '%_.pdf' then 'bad_extension' when coalesce(list_contains(hashes, f.md5), false) then 'duplicate' when list_contains(names, f.name) then 'name_taken' else 'accepted' end as s) j)
+ select path, name, status from f join step using (k)""")
 def corpus_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.admit(X.registry_files(spark, sf_dir), X.registry(spark, sf_dir)).select("path", "name", "status")
 
@@ -349,21 +444,22 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- dataset -------------------------------------------------------------------------------------------
 
 
+PER_CLASS = 5000  # so that at the small sizes some classes have enough and some are filled up
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = X.formula_lines(spark, sf_dir).selectExpr("txt as text", "txt as latex", "concat('doc', doc_id % 5) as source", "concat_ws('|', doc_id, line_no, pk, sk) as key")
-    # one class is left without rows, one with few
-    return dataset.classify(f).where("class <> 'mixed' and (class <> 'summation' or key like '1%')")
+    return dataset.classify(f)
 
 
 def _draw(what: str, lo: int, hi: int) -> str:
     return f"((('0x' || substr(md5('42|' || class || '|' || i || '|{what}'), 1, 8))::bigint % {hi - lo + 1}) + {lo})"
 
 
-BALANCED_SQL = f"""with {X.LINES_SQL}, items as (select * from (select txt as text, txt as latex, 'doc' || (doc_id % 5) as source, {OPERATOR_SQL.format('txt')} as class, doc_id || '|' || line_no || '|' || pk || '|' || sk as key from formula_lines)
-   where class <> 'mixed' and (class <> 'summation' or key like '1%')),
+BALANCED_SQL = f"""with {X.LINES_SQL}, items as (select * from (select txt as text, txt as latex, 'doc' || (doc_id % 5) as source, {OPERATOR_SQL.format('txt')} as class, doc_id || '|' || line_no || '|' || pk || '|' || sk as key from formula_lines) where class is not null),
  vocab as (select * from (values ('integral', 0), ('summation', 1), ('derivative_limit', 2), ('equation', 3), ('mixed', 4)) v(class, class_no)),
- taken as (select text, latex, source, class, key from (select *, row_number() over (partition by class order by md5('42|' || key), key) as r from items) where r <= 100),
- short as (select v.class, 100 - count(i.key) as shortage from vocab v left join items i on i.class = v.class group by v.class),
+ taken as (select text, latex, source, class, key from (select *, row_number() over (partition by class order by md5('42|' || key), key) as r from items) where r <= {PER_CLASS}),
+ short as (select v.class, {PER_CLASS} - count(i.key) as shortage from vocab v left join items i on i.class = v.class group by v.class),
  made as (select class, unnest(range(0, greatest(shortage, 0))) as i from short),
  synthetic as (select case class when 'integral' then 'Интеграл от ' || {_draw('a', 0, 5)} || ' до ' || {_draw('b', 6, 10)} when 'summation' then 'Сумма до ' || {_draw('n', 10, 100)}
      when 'derivative_limit' then case i % 2 when 0 then 'Производная функции' else 'Предел на бесконечности' end when 'equation' then case i % 2 when 0 then 'Квадратное уравнение' else 'Неравенство' end
@@ -377,27 +473,27 @@ BALANCED_SQL = f"""with {X.LINES_SQL}, items as (select * from (select txt as te
 
 @query(BALANCED_SQL + "select text, latex, source, class, key, position from balanced")
 def balanced_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.validate(dataset.balance(_items(spark, sf_dir)))
+    return dataset.validate(dataset.balance(_items(spark, sf_dir), PER_CLASS))
 
 
-@query(BALANCED_SQL + "select class_no, class, count(key) as n, count(key) >= 100 as ok from vocab left join items using (class) group by all")
+@query(BALANCED_SQL + f"select class_no, class, count(key) as n, count(key) >= {PER_CLASS} as ok from vocab left join items using (class) group by all")
 def class_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.class_status(_items(spark, sf_dir))
+    return dataset.class_status(_items(spark, sf_dir), PER_CLASS)
 
 
 @query(BALANCED_SQL + "select source, count(*) as n, case when source = 'synthetic' then 'synthetic' else 'pdf' end as kind from balanced group by source")
 def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.source_report(dataset.balance(_items(spark, sf_dir)))
+    return dataset.source_report(dataset.balance(_items(spark, sf_dir), PER_CLASS))
 
 
 @query(BALANCED_SQL + "select 'class' as \"by\", class as name, count(*) as n from balanced group by class union all select 'source', source, count(*) from balanced group by source")
 def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.counts_by(dataset.balance(_items(spark, sf_dir)))
+    return dataset.counts_by(dataset.balance(_items(spark, sf_dir), PER_CLASS))
 
 
 @query(BALANCED_SQL + "select class, substr(arg_min(text, position), 1, 40) as text, substr(arg_min(latex, position), 1, 80) as latex from balanced group by class")
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.examples(dataset.balance(_items(spark, sf_dir)))
+    return dataset.examples(dataset.balance(_items(spark, sf_dir), PER_CLASS))
 
 
 # --- LaTeX conversion -----------------------------------------------------------------------------------
@@ -419,7 +515,7 @@ for _a, _b in (
 @query(f"with {X.LINES_SQL}, f as (select {K}, {CONVERT_COLUMN} as line from formula_lines) select {K}, line, trim({_steps}) as latex from f")
 def latex_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = X.formula_lines(spark, sf_dir).selectExpr(*KEYS, f"{CONVERT_COLUMN} as line")
-    return f.withColumn("latex", latex.to_latex(F.col("line")))
+    return latex.with_latex(f, "line")
 
 
 # --- sources, routes and reports --------------------------------------------------------------------------
@@ -434,9 +530,6 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.reading_order(blocks).select("doc_id", "block_no", "text")
 
 
-STRIP_SQL = r"regexp_replace({0}, '^[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
-
-
 @query(f"""with own as (select doc_id, coalesce(text, '') as text from documents),
  routed as (select doc_id, case when length({STRIP_SQL.format('text')}) >= 400 then text else 'read on' || chr(10) || ' page ' || doc_id end as text from own),
  l as (select doc_id, {STRIP_SQL.format('unnest(string_split(text, chr(10)))')} as line from routed)
@@ -454,7 +547,7 @@ def fallback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pdf.with_fallback(f.where("doc_id % 3 <> 0").selectExpr(*KEYS, "txt as line"), f.selectExpr(*KEYS, "'second ' || txt as line"))
 
 
-@query(f"with {X.LINES_SQL}, {TYPES_SQL} select {K}, case when type = 'DIGITAL' then txt else 'ocr ' || txt end as line from formula_lines join named using (doc_id)")
+@query(f"with {X.LINES_SQL}, {TYPES_SQL} select {K}, case when type = 'DIGITAL' then txt else 'ocr ' || txt end as line from formula_lines join named using (doc_id) where type <> 'ERROR'")
 def routes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = X.formula_lines(spark, sf_dir)
     return pdf.by_document_type(corpus.document_types(X.page_flags(spark, sf_dir)), f.selectExpr(*KEYS, "txt as line"), f.selectExpr(*KEYS, "'ocr ' || txt as line"))
@@ -499,7 +592,7 @@ def validated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BALANCED_SQL + "select text, latex, source, class, key from synthetic")
 def synthetic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = dataset.class_status(_items(spark, sf_dir))
-    return dataset.synthetic(counts.select("class", (F.lit(100) - F.col("n")).alias("shortage")))
+    return dataset.synthetic(counts.select("class", (F.lit(PER_CLASS) - F.col("n")).alias("shortage")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGE = "doc_id string, pdf_file string, page int, text string, n_images int, page_width double, page_height double, metadata map<string,string>, image binary"
+PAGE = "doc_id string, pdf_file string, page int, text string, n_images int, page_width double, page_height double, metadata map<string,string>, image binary, error string"
 WORD = "doc_id string, page int, block_num int, par_num int, line_num int, word_num int, text string, left int, top int, width int, height int, conf double"
 BOX = "doc_id string, page int, x0 double, y0 double, x1 double, y1 double"
 
@@ -46,20 +47,22 @@ def fitz_pages(name: str, content: bytes, dpi: int | None = None) -> Iterator[di
 
 
 def pages(files: DataFrame, provider: Callable[[str, bytes], Iterable[dict]] = fitz_pages, max_pages: int | None = None) -> DataFrame:
-    """A row a page, from 1 to ``max_pages``. A document that fails gives the pages read so far."""
+    """A row a page, from 1 to ``max_pages``. A document that fails gives the pages read so far and a row
+    without a page that holds the error; plans leave such rows out, and reports count them."""
     names = [f.split()[0] for f in PAGE.split(", ")]
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                own = dict.fromkeys(names) | {"doc_id": name.rsplit(".", 1)[0], "pdf_file": name}
                 try:
                     for p in provider(name, bytes(content)):
                         if max_pages and p["page"] > max_pages:
                             break
-                        row = dict.fromkeys(names) | p | {"doc_id": name.rsplit(".", 1)[0], "pdf_file": name}
+                        row = own | p
                         yield pd.DataFrame([[row[c] for c in names]], columns=names)
-                except Exception:  # noqa: BLE001, S112  a broken file must not stop the others
-                    continue
+                except Exception as e:  # noqa: BLE001  a broken file must not stop the others
+                    yield pd.DataFrame([[(own | {"error": f"{type(e).__name__}: {e}"})[c] for c in names]], columns=names)
 
     return files.select("name", "content").mapInPandas(read, PAGE)
 
@@ -89,9 +92,65 @@ def tesseract_words(image: bytes, lang: str = "rus+eng", psm: int = 6) -> Iterat
     yield from table[table["text"].notna()].to_dict("records")
 
 
+def _confidence(x: object) -> float:
+    try:
+        return float(x)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return -1.0
+
+
 def words(page_images: DataFrame, provider: Callable[[bytes], Iterable[dict]] = tesseract_words) -> DataFrame:
-    """The word table of each page image; confidences that aren't numbers are -1."""
-    return _per_page(page_images, provider, WORD).where("text is not null").withColumn("conf", F.coalesce("conf", F.lit(-1.0)))
+    """The word table of each page image; words without text go, confidences that aren't numbers are -1."""
+
+    def read(image: bytes) -> Iterator[dict]:
+        for w in provider(image):
+            if w.get("text") is not None:
+                yield w | {"conf": _confidence(w.get("conf"))}
+
+    return _per_page(page_images, read, WORD)
+
+
+def tesseract_text(image: bytes, lang: str = "rus+eng", psm: int = 6, oem: int = 3) -> str:
+    """A page's text; empty without the recogniser."""
+    if not (capabilities()["pytesseract"] and capabilities()["PIL"]):
+        return ""
+    import io
+
+    import pytesseract
+    from PIL import Image
+
+    return pytesseract.image_to_string(Image.open(io.BytesIO(image)), lang=lang, config=f"--psm {psm} --oem {oem}")
+
+
+def page_texts(page_images: DataFrame, provider: Callable[[bytes], str] = tesseract_text, prepare: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """doc_id, page, text recognised on each page image, which ``prepare`` (``binarise`` if it isn't given) works on
+    first; pages without an image and errors give the empty text."""
+    prepare = prepare or binarise
+
+    @F.pandas_udf("string")
+    def read(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(image: bytes | None) -> str:
+            try:
+                return provider(prepare(bytes(image))) or "" if image is not None else ""
+            except Exception:  # noqa: BLE001
+                return ""
+
+        for s in it:
+            yield s.map(one)
+
+    return page_images.where("page is not null").select("doc_id", "page", read.asNondeterministic()(F.col("image")).alias("text"))
+
+
+def enhanced(pages: DataFrame, prepare: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """``pages`` (typed) whose images of scanned and mixed pages ``prepare`` (``enhance`` if it isn't given) has worked on."""
+    prepare = prepare or enhance
+
+    @F.pandas_udf("binary")
+    def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for image, wanted in it:
+            yield pd.Series([prepare(bytes(x)) if x is not None and w else x for x, w in zip(image, wanted, strict=True)], dtype=object)
+
+    return pages.withColumn("image", run("image", F.col("page_type").isin("scanned", "mixed")))
 
 
 def cv2_boxes(image: bytes, zoom: float = 3.0) -> Iterator[dict]:
@@ -135,7 +194,7 @@ def binarise(image: bytes, threshold: int = 140) -> bytes:
     from PIL import Image, ImageEnhance, ImageFilter
 
     img = Image.open(io.BytesIO(image)).convert("L").filter(ImageFilter.SHARPEN).filter(ImageFilter.SHARPEN)
-    img = ImageEnhance.Contrast(img).enhance(2.0).point(lambda v: 255 if v > threshold else 0)
+    img = ImageEnhance.Contrast(img).enhance(2.0).point(lambda v: 0 if v < threshold else 255)
     out = io.BytesIO()
     img.save(out, "PNG")
     return out.getvalue()
@@ -174,27 +233,34 @@ def recognised(crops: DataFrame, load: Callable[[], Callable[[bytes], str]] = pi
     return crops.withColumn("latex_raw", run.asNondeterministic()(F.col("image")))
 
 
-def optional_markup(df: DataFrame) -> DataFrame:
+def swapped_channels(pixels: np.ndarray) -> np.ndarray:
+    """RGB to BGR and back: the last axis reversed."""
+    return pixels[..., ::-1]
+
+
+def latex_to_mathml(x: str) -> str:
+    import latex2mathml.converter
+
+    return latex2mathml.converter.convert(x)
+
+
+def latex_to_sympy(x: str) -> str:
+    from sympy.parsing.latex import parse_latex
+
+    return str(parse_latex(x))
+
+
+def optional_markup(df: DataFrame, mathml: Callable[[str], str] = latex_to_mathml, sympy: Callable[[str], str] = latex_to_sympy) -> DataFrame:
     """``df`` with mathml and sympy of latex_norm by the optional libraries; null without them or on errors."""
 
     @F.pandas_udf("mathml string, sympy string")
     def run(s: pd.Series) -> pd.DataFrame:
-        def tried(f: Callable[[str], str], x: str) -> str | None:
+        def tried(f: Callable[[str], str], x: str | None) -> str | None:
             try:
-                return f(x)
+                return f(x) if x is not None else None
             except Exception:  # noqa: BLE001
                 return None
 
-        def mathml(x: str) -> str:
-            import latex2mathml.converter
-
-            return latex2mathml.converter.convert(x)
-
-        def sympy(x: str) -> str:
-            from sympy.parsing.latex import parse_latex
-
-            return str(parse_latex(x))
-
         return pd.DataFrame({"mathml": [tried(mathml, x) for x in s], "sympy": [tried(sympy, x) for x in s]})
 
     return df.drop("mathml", "sympy").withColumn("__m", run(F.col("latex_norm"))).select("*", "__m.mathml", "__m.sympy").drop("__m")

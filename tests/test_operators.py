@@ -56,6 +56,104 @@ def test_admission(spark):
     assert corpus.admit(files, known, force=True).where("status = 'accepted'").count() == 4
 
 
+def test_admission_goes_file_by_file(spark):
+    """A refused file registers nothing: neither its content nor its name stands in a later one's way."""
+    files = [("1", "a.pdf", "x"), ("2", "b.pdf", "x"), ("3", "c.pdf", "p"), ("4", "c.pdf", "q"), ("5", "d.pdf", "q"), ("6", "d.pdf", "q"), ("7", "e.pdf", None), ("8", "e.pdf", None), ("9", ".pdf", "r"), ("10", "f.pdf", "x")]
+    df = spark.createDataFrame(files, "path string, name string, md5 string")
+    known = spark.createDataFrame([("a.pdf", "old")], "name string, hash string")
+    got = {r.path: r.status for r in corpus.admit(df, known).collect()}
+    # paths sort as text: 1, 10, 2, ...
+    want = {"1": "name_taken", "10": "accepted", "2": "duplicate", "3": "accepted", "4": "name_taken", "5": "accepted", "6": "duplicate", "7": "accepted", "8": "name_taken", "9": "bad_extension"}
+    assert got == want
+
+
+def test_admission_against_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    files = [(f"{k:04d}", f"n{rng.randrange(60)}.pdf", f"h{rng.randrange(60)}") for k in range(150)]
+    files += [(f"z{k:03d}", f"m{k // 2}.pdf", f"g{(k + 1) // 2}") for k in range(40)]  # each conflicts with the next
+    known = [("n1.pdf", "h2"), ("n3.pdf", "h4")]
+    names, hashes, want = {n for n, _ in known}, {h for _, h in known}, {}
+    for path, name, h in sorted(files):
+        want[path] = "duplicate" if h in hashes else "name_taken" if name in names else "accepted"
+        if want[path] == "accepted":
+            names.add(name)
+            hashes.add(h)
+    df = spark.createDataFrame(files, "path string, name string, md5 string").repartition(5)
+    got = {r.path: r.status for r in corpus.admit(df, spark.createDataFrame(known, "name string, hash string")).collect()}
+    assert got == want and set(want.values()) == {"accepted", "duplicate", "name_taken"}
+
+
+def test_rejected_rows(spark):
+    df = spark.createDataFrame([("ab",), (None,), ("abc",), ("  x  ",)], "latex string")
+    assert sorted((r.latex or "", r.reason) for r in dataset.rejected(df).collect()) == [("", "missing"), ("  x  ", "too short"), ("ab", "too short")]
+    assert dataset.classify(df).count() == 1
+
+
+def test_balanced_with_an_empty_and_a_short_class(spark):
+    rows = [("\\int x", k) for k in range(150)] + [("\\sum x", k) for k in range(30)] + [("a = b", k) for k in range(100)] + [("\\lim x", 0)]
+    items = dataset.classify(spark.createDataFrame([(f, f, "d", f"{f}{k}") for f, k in rows], "text string, latex string, source string, key string"))
+    out = dataset.balance(items)
+    assert {r["class"]: (r.n, r.s) for r in out.groupBy("class").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "synthetic").alias("s")).collect()} == {"integral": (100, 0), "summation": (100, 70), "derivative_limit": (100, 99), "equation": (100, 0), "mixed": (100, 100)}
+    assert [(r["class"], r.n, r.ok) for r in dataset.class_status(items).orderBy("class_no").collect()] == [("integral", 150, True), ("summation", 30, False), ("derivative_limit", 1, False), ("equation", 100, True), ("mixed", 0, False)]
+
+
+def test_digital_lines(spark):
+    pages = spark.createDataFrame([("d", 1, "x" * 60), ("d", 2, "short"), ("e", 1, None), ("f", 1, "")], "doc_id string, page int, text string")
+    blocks = spark.createDataFrame([("d", 1, 0, 51.0, 0.0, "third"), ("d", 1, 1, 12.0, 9.0, "second  π\n\nline"), ("d", 1, 2, 14.0, 1.0, "first"), ("d", 1, 3, 12.0, 9.0, "tie"), ("d", 2, 0, 0.0, 0.0, "not read")], "doc_id string, page int, no int, y0 double, x0 double, text string")
+    read = spark.createDataFrame([("d", 1, "no"), ("d", 2, " read  on \nπ\nlast"), ("e", 1, "")], "doc_id string, page int, text string")
+    other = spark.createDataFrame([("d", 1, "no"), ("e", 1, "other"), ("f", 1, "π")], "doc_id string, page int, text string")
+    got = lines.digital_lines(pages, blocks, read, other, 50).orderBy("doc_id", "line_no").collect()
+    assert [(r.doc_id, r.line) for r in got] == [("d", x) for x in ("first", "second", "line", "tie", "third", "read on", "last")] + [("e", "other")]
+
+
+def test_recognised_pages_and_words_by_stubs(spark, tmp_path):
+    rows = [("d", 1, b"img", "scanned"), ("d", 2, None, "scanned"), ("e", 1, b"bad", "text")]
+    df = spark.createDataFrame(rows, "doc_id string, page int, image binary, page_type string")
+
+    def text(image):
+        if image == b"ready bad":
+            raise ValueError
+        return image.decode() + "\nx = 1"
+
+    got = {(r.doc_id, r.page): r.text for r in pdf.page_texts(df, text, lambda image: b"ready " + image).collect()}
+    assert got == {("d", 1): "ready img\nx = 1", ("d", 2): "", ("e", 1): ""}
+    assert {r.text for r in pdf.page_texts(df).collect()} == {""} or pdf.capabilities()["pytesseract"]
+    assert [r.image for r in pdf.enhanced(df, lambda image: b"+" + image).orderBy("doc_id", "page").collect()] == [b"+img", None, b"bad"]
+    assert [r.image for r in pdf.enhanced(df).orderBy("doc_id", "page").collect()][2] == b"bad"
+
+    def words(image):
+        base = {"block_num": 1, "par_num": 1, "line_num": 1, "left": 0, "top": 0, "width": 5, "height": 5}
+        yield from ({**base, "word_num": k, "text": t, "conf": c} for k, (t, c) in enumerate([("a", "90"), ("b", "n/a"), (None, 3), ("c", None), ("d", 7)]))
+
+    found = pdf.words(df.where("doc_id = 'e'"), words).orderBy("word_num").collect()
+    assert [(r.text, r.conf) for r in found] == [("a", 90.0), ("b", -1.0), ("c", -1.0), ("d", 7.0)]
+    images = df.selectExpr("concat(doc_id, '/', page) as name", "image")
+    for _ in range(2):
+        written = sinks.write_images(images, str(tmp_path / "png")).collect()
+        assert sorted(p.name for p in (tmp_path / "png").iterdir()) == ["d_1.png", "e_1.png"] and len(written) == 2
+    assert (tmp_path / "png" / "d_1.png").read_bytes() == b"img"
+
+
+def test_markup_and_channels(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([("x",), ("bad",), (None,)], "latex_norm string")
+
+    def strict(x):
+        if x == "bad":
+            raise ValueError
+        return f"<{x}>"
+
+    got = {r.latex_norm: (r.mathml, r.sympy) for r in pdf.optional_markup(df, strict, str.upper).collect()}
+    assert got == {"x": ("<x>", "X"), "bad": (None, "BAD"), None: (None, None)}
+    if not pdf.capabilities()["latex2mathml"]:
+        assert pdf.optional_markup(df).where("mathml is not null").count() == 0
+    image = np.arange(12).reshape(2, 2, 3)
+    assert (pdf.swapped_channels(image)[0, 0] == [2, 1, 0]).all() and (pdf.swapped_channels(pdf.swapped_channels(image)) == image).all()
+
+
 def test_pages_by_a_stub_provider_and_records(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF one")
     (tmp_path / "bad.pdf").write_bytes(b"broken")
@@ -70,7 +168,10 @@ def test_pages_by_a_stub_provider_and_records(spark, tmp_path):
     files = pdf.corpus_files(spark, str(tmp_path))
     assert files.count() == 2
     got = pdf.pages(files, stub, max_pages=2)
-    assert sorted((r.doc_id, r.page) for r in got.collect()) == [("a", 1), ("a", 2), ("bad", 1)]
+    assert sorted((r.doc_id, r.page or 0, r.error) for r in got.collect()) == [("a", 1, None), ("a", 2, None), ("bad", 0, "ValueError: "), ("bad", 1, None)]
+    types = {r.doc_id: (r.type, r.total_pages, r.needs_ocr, r.error) for r in corpus.document_types(corpus.page_flags(got)).collect()}
+    assert types == {"a": ("DIGITAL", 2, False, None), "bad": ("ERROR", None, False, "ValueError: ")}
+    got = got.where("page is not null")
     from formulary.operators.extract import text_layer_latex
 
     rec = records.text_layer_records(text_layer_latex(got.select("doc_id", "pdf_file", "page", "text")))
