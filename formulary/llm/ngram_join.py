@@ -429,8 +429,14 @@ def joined(docs: DataFrame, width: int, num: int, den: int, by_id: bool) -> tupl
     more = written(more.unionByName(tiles.select("a", "b").join(tested, ["a", "b"], "left_anti")).distinct(), "plausible")
     links = written(links.unionByName(linked(more)), "links")
     roots = components(links)
-    if not tiles.where("more").isEmpty():  # components whose first pairs didn't unite them: all their other ones
-        now = members.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    # components whose first pairs didn't unite them: all other pairs of theirs, in their teams
+    cut = tiles.where("more").select("a", "b")
+    for c in ("a", "b"):
+        cut = cut.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    cut = written(cut.where("ra <> rb").select(F.col("a").alias("cid")).distinct(), "cut")
+    if not cut.isEmpty():
+        now = members.join(members.join(cut, "cid", "left_semi").select("team").distinct(), "team", "left_semi").drop("root")
+        now = now.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         rest = tile_pairs(now, reps, num, den, None).select("a", "b").join(tested.unionByName(more), ["a", "b"], "left_anti")
         roots = components(links.unionByName(linked(written(rest.distinct(), "plausible"))))
     return of_doc, reps.select("cid", "doc_id"), roots
