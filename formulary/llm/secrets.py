@@ -3,8 +3,8 @@
 Candidate strings are runs of token characters. A window slides over a candidate; its character
 counts change by the one character that enters and the one that leaves, and with them the sum of
 c*log2(c), which gives the window's Shannon entropy without counting again. Each character class
-(hex digits; letters and digits; base64) has its own window and threshold. An allow list drops
-identifiers that look random but are no secrets: UUIDs, digits alone, and example values.
+(hex digits; letters and digits; base64; all others) has its own window and threshold. An allow list drops
+identifiers that look random but are no secrets: UUIDs, digits alone, strings without any digit, and example values.
 
 Positions are code points: a pattern's matches and the text between them, both as arrays, give the
 running offsets, summed in parts so that many matches in one text do not cost their square.
@@ -37,8 +37,10 @@ CLASSES = (
     ("entropy_hex", "^[0-9A-Fa-f]+$", 16, 3.0),
     ("entropy_alnum", "^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 20, 3.6),
     ("entropy_base64", "^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_-]+$", 20, 3.9),
+    ("entropy_mixed", "^.+$", 20, 4.1),  # letters of one case with signs
 )
-ALLOWED = "^(?:[0-9]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|.*(?i:example|sample|dummy|placeholder|xxxx).*)$"
+#: Digits alone, or none at all; UUIDs; example values.
+ALLOWED = "^(?:[0-9]+|[^0-9]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|.*(?i:example|sample|dummy|placeholder|xxxx).*)$"
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in CLASSES]
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 PART = 512  # elements that are appended one by one
@@ -130,7 +132,7 @@ def secret_spans(df: DataFrame, text: str = "text") -> DataFrame:
         out = F.lit(-1)
         for j, (_, like, window, bits) in reversed(list(enumerate(CLASSES, len(BASE)))):
             out = F.when(s.rlike(like), F.when(most_entropy(s, window) >= bits, j).otherwise(-1)).otherwise(out)
-        return F.when(s.rlike(ALLOWED) | ~s.rlike("[0-9]"), -1).otherwise(out)
+        return F.when(s.rlike(ALLOWED), -1).otherwise(out)
 
     def outside(both: Column) -> Column:
         """The candidates that no base span holds: none that begins at or before it ends as late."""
