@@ -127,32 +127,44 @@ LABEL = r"[\(\[]?[A-Za-z]?\d+([.,\-]\d+)*[\)\]]?[.,]?"
 
 def math_text(c: Column) -> Column:
     """struct(is_math, reason): ordered rules, the first that holds decides."""
-    t = strip(F.coalesce(c, F.lit("")))
-    clean = F.regexp_replace(t, "[ \n]", "")
-    n = F.length(clean)
-    letters = F.length(F.regexp_replace(t, "[^a-zA-Z\u0430-\u044f\u0410-\u042f]", ""))
-    signs = F.length(F.regexp_replace(clean, r"[^+\-/*^|]", ""))
     out = lambda flag, why: F.struct(F.lit(flag).alias("is_math"), F.lit(why).alias("reason"))
-    return (
-        F.when(t == "", out(False, "empty"))
-        .when(matches(clean, LABEL), out(False, "label"))
-        .when((n > 30) & (letters > 0.7 * n), out(False, "prose"))
-        .when(contains_any(t, MATH_SYMBOLS), out(True, "symbol"))
-        .when(contains_any(t, ("=", "<", ">", "\u2248")) & (letters < 0.6 * (n + 1)), out(True, "relation"))
-        .when((n > 5) & (signs > 0.1 * n), out(True, "operators"))
-        .otherwise(out(False, "no sign"))
-    )
+
+    def measured(t: Column) -> Column:
+        clean = F.regexp_replace(t, "[ \n]", "")
+        letters = F.length(F.regexp_replace(t, "[^a-zA-Z\u0430-\u044f\u0410-\u042f]", ""))
+        return F.struct(t.alias("t"), clean.alias("clean"), F.length(clean).alias("n"), letters.alias("letters"))
+
+    def judged(x: Column) -> Column:
+        t, clean, n, letters = (x[k] for k in ("t", "clean", "n", "letters"))
+        signs = F.length(F.regexp_replace(clean, r"[^+\-/*^|]", ""))
+        return (
+            F.when(t == "", out(False, "empty"))
+            .when(matches(clean, LABEL), out(False, "label"))
+            .when((n > 30) & (letters > 0.7 * n), out(False, "prose"))
+            .when(contains_any(t, MATH_SYMBOLS), out(True, "symbol"))
+            .when(contains_any(t, ("=", "<", ">", "\u2248")) & (letters < 0.6 * (n + 1)), out(True, "relation"))
+            .when((n > 5) & (signs > 0.1 * n), out(True, "operators"))
+            .otherwise(out(False, "no sign"))
+        )
+
+    return let(let(strip(F.coalesce(c, F.lit(""))), measured), judged)
 
 
 def operator_class(c: Column) -> Column:
     """integral, summation, derivative_limit, equation or mixed by the commands a formula holds; a
     command ends at a word boundary (so ``\\int_`` doesn't count). Null below three characters."""
-    s = F.coalesce(c, F.lit(""))
-    integral = s.rlike(r"(?U)\\(?:int|oint)\b")
-    total = s.rlike(r"(?U)\\(?:sum|prod)\b")
-    change = s.rlike(r"(?U)\\(?:partial|nabla|lim)\b|\\mathrm\{d\}")
-    several = integral.cast("int") + total.cast("int") + change.cast("int") > 1
-    return F.when(F.length(strip(s)) < 3, None).when(several, "mixed").when(integral, "integral").when(total, "summation").when(change, "derivative_limit").otherwise("equation")
+
+    def found(s: Column) -> Column:
+        integral, total = s.rlike(r"(?U)\\(?:int|oint)\b"), s.rlike(r"(?U)\\(?:sum|prod)\b")
+        change = s.rlike(r"(?U)\\(?:partial|nabla|lim)\b|\\mathrm\{d\}")
+        some = s.contains("\\")  # all commands begin so
+        return F.struct((F.length(strip(s)) < 3).alias("short"), (some & integral).alias("integral"), (some & total).alias("total"), (some & change).alias("change"))
+
+    def named(f: Column) -> Column:
+        several = f["integral"].cast("int") + f["total"].cast("int") + f["change"].cast("int") > 1
+        return F.when(f["short"], None).when(several, "mixed").when(f["integral"], "integral").when(f["total"], "summation").when(f["change"], "derivative_limit").otherwise("equation")
+
+    return let(let(F.coalesce(c, F.lit("")), found), named)
 
 
 def long_enough(c: Column) -> Column:
@@ -202,17 +214,24 @@ LEFT_SIDES = (
 def is_formula_line(c: Column) -> Column:
     """Seven tests: an ``=``; at most 80 characters; a quarter Cyrillic at most; no stop word; a left side
     (before the last ``=``) of two characters or more that looks like mathematics; a number on the right."""
-    line = F.coalesce(c, F.lit(""))
-    cyrillic = F.length(F.regexp_replace(line, "[^а-яёА-ЯЁ]", ""))
-    right = F.substring_index(line, "=", -1)
-    left = strip(F.substring(line, F.lit(1), F.length(line) - F.length(right) - 1))
-    value = F.replace(F.translate(strip(right), ",", "."), F.lit(" "), F.lit(""))
-    looks = latin_line(left).rlike("(?iU)" + "|".join(f"(?:{p})" for p in LEFT_SIDES))
-    return (
-        line.contains("=") & (F.length(line) <= 80) & (cyrillic <= 0.25 * F.length(F.replace(line, F.lit(" "), F.lit(""))))
-        & ~contains_any(F.lower(line), STOP_WORDS) & (F.length(left) >= 2)
-        & matches(value, rf"{DIGITS}([.,]\d+)?|{DIGITS}/\d+|∞|\\infty") & looks
-    )
+
+    def sides(line: Column) -> Column:
+        right = F.substring_index(line, "=", -1)
+        return F.struct(line.alias("line"), strip(F.substring(line, F.lit(1), F.length(line) - F.length(right) - 1)).alias("left"), F.replace(F.translate(strip(right), ",", "."), F.lit(" "), F.lit("")).alias("value"))
+
+    def judged(x: Column) -> Column:
+        line, left, value = x["line"], x["left"], x["value"]
+        cyrillic = F.length(F.regexp_replace(line, "[^а-яёА-ЯЁ]", ""))
+        looks = latin_line(left).rlike("(?iU)" + "|".join(f"(?:{p})" for p in LEFT_SIDES))
+        return (
+            (F.length(left) >= 2) & matches(value, rf"{DIGITS}([.,]\d+)?|{DIGITS}/\d+|∞|\\infty")
+            & (cyrillic <= 0.25 * F.length(F.replace(line, F.lit(" "), F.lit("")))) & ~contains_any(F.lower(line), STOP_WORDS) & looks
+        )
+
+    def tested(line: Column) -> Column:
+        return F.when(line.contains("=") & (F.length(line) <= 80), let(let(line, sides), judged)).otherwise(False)
+
+    return let(F.coalesce(c, F.lit("")), tested)
 
 
 def rhs_is_plain_number(c: Column) -> Column:

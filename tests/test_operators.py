@@ -191,3 +191,14 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     pages.write.parquet(str(tmp_path / "in"))
     incremental.start_records(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(r.cls for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["EQ_EXPR", "INEQ"]
+
+
+def test_registry_stream_admits_each_batch_against_what_is_registered(spark, tmp_path):
+    schema, where = "path string, name string, md5 string, size long", str(tmp_path / "in")
+    batches = [[("1", "a.pdf", "x", 1), ("2", "b.pdf", "x", 2)], [("3", "b.pdf", "x", 3), ("4", "a.pdf", "y", 4), ("5", "c.pdf", "z", 5)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(where)
+        files = spark.readStream.schema(schema).parquet(where)
+        incremental.start_registry(files, str(tmp_path / "registry"), str(tmp_path / "ck")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "registry")).collect()
+    assert sorted((r.name, r.hash) for r in got) == [("a.pdf", "x"), ("c.pdf", "z")]
