@@ -381,7 +381,7 @@ def tile_pairs(members: DataFrame, classes: DataFrame, num: int, den: int, few:
     return tiles.groupBy("team", "i", "j").applyInArrow(compare, "a long, b long, more boolean")
 
 
-SMALL, TILE, FEW = 48, 4096, 4
+SMALL, TILE, FEW = 48, 4096, 32
 
 
 def joined(docs: DataFrame, width: int, num: int, den: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:

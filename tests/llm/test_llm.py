@@ -269,6 +269,38 @@ def test_lm(spark, sample):
     assert lm.score(lm.prepared(docs, empty, counts), empty).where("n_known > 0").count() == 0
 
 
+def test_class_score_by_brute_force(spark, sample):
+    """Token by token from the model's tables; words that aren't sent to the tasks come from the counts."""
+    rows = [*sample, (3, "another text under this id"), (3, "another text under this id"), (None, "no id w1 w2")]
+    docs = common.documents(texts(spark, rows))
+    model, counts, ready = lm.fit(docs, ~lm.held_out(), n_words=64, n_forms=16, n_classes=8, most_kept=100)
+    units = model.units
+    table = {r.word: (r.n, r.cls) for r in counts.collect()}
+    kept = {int(h): (int(n), int(u)) for h, n, u in zip(units.names.view(np.int64), units.counts, units.unit, strict=True)}
+    assert not units.whole and len(kept) < len(table)
+
+    def score(text):
+        total, before = 0.0, None
+        for w in [b"\n", *(text or "").encode().lower().split(), b"\n"]:
+            h = int(lm.hashes([w]).view(np.int64)[0])
+            ending = units.n_words + int(lm.endings([w], units.n_forms)[0])
+            if h in kept:
+                n, unit = kept[h]
+            else:
+                n, cls = table.get(h, (0, None))
+                unit = ending if cls is None else units.size + cls
+            here = model.cls[unit]
+            if before is not None:
+                total += model.log_step[before, here] + model.log_unit[unit] - model.log_form[unit] + (np.log10(n + lm.DELTA) if unit >= units.n_words else 0.0)
+            before = here
+        return total
+
+    place = lambda k: -1 if k is None else k
+    got = sorted((place(r.doc_id), r.score) for r in lm.score(ready, model).collect())
+    want = sorted((place(k), score(t)) for k, t in rows)
+    assert [k for k, _ in got] == [k for k, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
 def test_exchange_finds_planted_classes():
     rng = np.random.default_rng(0)
     n = np.zeros((20, 20), int)
